@@ -8,6 +8,7 @@ classes are spelled out because RE2's ``\\s`` and ``\\d`` are ASCII-only.
 from __future__ import annotations
 
 from ..functions.text import WS
+from .replay import ANSWERS, SAMPLES, sql_pick
 
 STRIP = f"'^{WS}+|{WS}+\\z'"
 
@@ -56,8 +57,98 @@ TXT_STANZAS = _numbered(f"(SELECT doc_id, {_stanzas('txt')} AS arr FROM {CONV_TE
 PARAGRAPHS_FALLBACK = _numbered(f"(SELECT doc_id, {_paragraphs('text')} AS arr FROM documents)")
 
 
+def _after_think(s: str) -> str:
+    return _strip(f"string_split({s}, '</think>')[-1]")
+
+
+def _final_answer(x: str) -> str:
+    s = _strip(x)
+    return (f"(CASE WHEN contains({s}, '</think>') THEN {_after_think(s)} "
+            f"WHEN contains({s}, '<think>') THEN NULL ELSE {s} END)")
+
+
+def _sample_answer(x: str) -> str:
+    s = _strip(x)
+    return f"(CASE WHEN contains({s}, '</think>') THEN {_after_think(s)} ELSE {s} END)"
+
+
+def _verdict_cols(ans: str, final: str) -> str:
+    """Columns clear, label, confidence, explanation from an answer."""
+    js = f"regexp_extract({ans}, '(?s)\\{{.*\\}}', 0)"
+    ok = f"({js} <> '' AND coalesce(json_valid({js}), false))"
+    exc = f"coalesce(json_extract_string({js}, '$.excerpt'), '')"
+    why = f"coalesce(json_extract_string({js}, '$.explanation'), '')"
+    combined = _strip(f"({exc} || chr(10) || chr(10) || 'Explanation: ' || {why})")
+    code = f"""(CASE
+        WHEN {final} AND {ok} AND coalesce(json_extract_string({js}, '$.verdict'), '0') = '1' THEN 'J1'
+        WHEN {final} AND {ok} THEN 'J0'
+        WHEN {ans} IS NULL THEN 'U'
+        WHEN starts_with({ans}, '1:') THEN 'P1'
+        WHEN {ans} = '1' THEN 'E1'
+        WHEN {ans} = '0' THEN 'E0'
+        WHEN contains({ans}, '1') AND NOT contains({ans}, '0') THEN 'L1'
+        WHEN contains({ans}, '0') AND NOT contains({ans}, '1') THEN 'L0'
+        ELSE 'U' END)"""
+    return f"""{code} <> 'U' AS clear,
+      CASE WHEN {code} IN ('J1', 'P1', 'E1', 'L1') THEN '1'
+           WHEN {code} IN ('J0', 'E0', 'L0') THEN '0' END AS label,
+      CAST(CASE WHEN {code} IN ('J1', 'J0', 'P1', 'E1', 'E0') THEN 0.95
+                WHEN {code} IN ('L1', 'L0') THEN 0.85 END AS DOUBLE) AS confidence,
+      CASE WHEN {code} = 'J1' THEN {combined}
+           WHEN {code} = 'P1' THEN {_strip(f'substring({ans}, 3)')}
+           WHEN {code} IN ('E1', 'L1') THEN 'Match detected.'
+           WHEN {code} IN ('J0', 'E0', 'L0') THEN '' END AS explanation"""
+
+
+PARSE_VERDICTS = f"""
+WITH r AS (
+  SELECT doc_id, m AS model_idx, {sql_pick(ANSWERS, 'doc_id * 7 + m * 3')} AS raw
+  FROM labels, (SELECT unnest([0, 1]) AS m) AS models
+), a AS (SELECT *, {_final_answer('raw')} AS ans FROM r)
+SELECT doc_id, model_idx, raw, {_verdict_cols('ans', 'model_idx = 1')} FROM a"""
+
+RESOLVE_ATTEMPTS = f"""
+WITH r AS (
+  SELECT doc_id, m AS model_idx, t AS attempt,
+         {sql_pick(ANSWERS, 'doc_id * 5 + m * 11 + t * 13')} AS raw
+  FROM labels, (SELECT unnest([0, 1]) AS m) AS models, (SELECT unnest([1, 2, 3]) AS t) AS tries
+), a AS (SELECT *, {_final_answer('raw')} AS ans FROM r),
+v AS (SELECT doc_id, model_idx, attempt, {_verdict_cols('ans', 'model_idx = 1')} FROM a)
+SELECT doc_id, model_idx,
+       min(attempt) FILTER (WHERE clear) AS attempt,
+       arg_min(label, attempt) FILTER (WHERE clear) AS label,
+       arg_min(confidence, attempt) FILTER (WHERE clear) AS confidence,
+       arg_min(explanation, attempt) FILTER (WHERE clear) AS explanation,
+       CASE WHEN bool_or(clear) THEN 'clear' ELSE 'unresolved' END AS status
+FROM v GROUP BY doc_id, model_idx"""
+
+VOTE_RESOLUTION = f"""
+WITH r AS (
+  SELECT doc_id, lab AS label, n AS sample_no,
+         {sql_pick(SAMPLES, "doc_id * 3 + n * 5 + CASE WHEN lab = '1' THEN 7 ELSE 0 END")} AS raw
+  FROM labels, (SELECT unnest(['1', '0']) AS lab) AS l, (SELECT unnest([1, 2, 3, 4, 5]) AS n) AS s
+), h AS (
+  SELECT doc_id, label, CAST(contains({_sample_answer('raw')}, label) AS INTEGER) AS hit FROM r
+), sh AS (
+  SELECT doc_id,
+         CAST(sum(hit) FILTER (WHERE label = '1') AS DOUBLE) / count(*) FILTER (WHERE label = '1') AS p,
+         CAST(sum(hit) FILTER (WHERE label = '0') AS DOUBLE) / count(*) FILTER (WHERE label = '0') AS n
+  FROM h GROUP BY doc_id
+)
+SELECT doc_id,
+       CASE WHEN p + n <= 0 THEN '0' WHEN p / (p + n) > n / (p + n) THEN '1' ELSE '0' END AS label,
+       CASE WHEN p + n <= 0 THEN 0.0 WHEN p / (p + n) > n / (p + n) THEN p / (p + n)
+            ELSE n / (p + n) END AS confidence,
+       CASE WHEN p + n > 0 AND p / (p + n) > n / (p + n) THEN 'Match detected.' ELSE '' END AS explanation,
+       CASE WHEN p + n <= 0 THEN 'error' ELSE 'vote' END AS status
+FROM sh"""
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
         "paragraphs_fallback": PARAGRAPHS_FALLBACK,
+        "parse_verdicts": PARSE_VERDICTS,
+        "resolve_attempts": RESOLVE_ATTEMPTS,
+        "vote_resolution": VOTE_RESOLUTION,
     }

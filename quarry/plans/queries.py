@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import passages as P
+from ..operators import verdicts as V
 from ..sources import table
+from .replay import ANSWERS, SAMPLES, pick
 
 
 # ------------------------------------------------------------- text path
@@ -39,9 +41,49 @@ def paragraphs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_paragraphs(spark, sf_dir)
 
 
+# ------------------------------------------------------------ verdict path
+def _replayed(spark: SparkSession, sf_dir: str, steps: dict[str, list]) -> DataFrame:
+    """One row per ``labels.doc_id`` and each combination of ``steps``,
+    generated in the row (explode of a literal array, no join)."""
+    df = table(spark, sf_dir, "labels").select("doc_id")
+    for name, values in steps.items():
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
+def parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2-M4 over replayed answers; model 1 is the final (JSON) model."""
+    rows = _replayed(spark, sf_dir, {"model_idx": [0, 1]})
+    rows = rows.withColumn("raw", pick(ANSWERS, F.col("doc_id") * 7 + F.col("model_idx") * 3))
+    v = V.parse_verdict("raw", F.col("model_idx") == 1)
+    return rows.select("doc_id", "model_idx", "raw", v["clear"].alias("clear"),
+                       v["label"].alias("label"), v["confidence"].alias("confidence"),
+                       v["explanation"].alias("explanation"))
+
+
+def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: three replayed tries per (document, model); first clear try wins."""
+    rows = _replayed(spark, sf_dir, {"model_idx": [0, 1], "attempt": [1, 2, 3]})
+    rows = rows.withColumn("raw", pick(ANSWERS, F.col("doc_id") * 5 + F.col("model_idx") * 11
+                                       + F.col("attempt") * 13))
+    rows = rows.withColumn("v", V.parse_verdict("raw", F.col("model_idx") == 1))
+    return V.resolve_attempts(rows, ["doc_id", "model_idx"])
+
+
+def vote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M6 + M7: five replayed samples per asked label, shares, vote."""
+    rows = _replayed(spark, sf_dir, {"label": ["1", "0"], "sample_no": [1, 2, 3, 4, 5]})
+    rows = rows.withColumn("raw", pick(SAMPLES, F.col("doc_id") * 3 + F.col("sample_no") * 5
+                                       + F.when(F.col("label") == "1", 7).otherwise(0)))
+    return V.resolve_by_vote(V.label_shares(rows, ["doc_id"]))
+
+
 REGISTRY = {
     "txt_stanzas": txt_stanzas,
     "paragraphs_fallback": paragraphs_fallback,
+    "parse_verdicts": parse_verdicts,
+    "resolve_attempts": resolve_attempts,
+    "vote_resolution": vote_resolution,
 }
 
 FLAGSHIP = txt_stanzas
