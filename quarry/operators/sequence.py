@@ -13,8 +13,10 @@ split each key's order range into blocks:
 * block offsets join back on ``(key, block)``, which spreads a hot key over
   as many shuffle partitions as it has blocks.
 
-With the default ``block=4096, levels=2`` a key needs more than 2**24 blocks
-(2**36 rows) before one task holds more than 4096 rows.
+With the default ``block=65536, levels=1`` a key holding 3e11 rows puts
+about 4.6e6 block totals in one sorted window task (tens of MB), every other
+task holds at most 65536 rows. ``levels=2`` adds another level for keys far
+beyond that, at the price of a larger plan.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str,
-                  out: str, block: int = 4096, levels: int = 2,
+                  out: str, block: int = 65536, levels: int = 1,
                   inclusive: bool = False) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows of the same ``keys`` with a
     smaller ``order`` (plus the row itself when ``inclusive``).
@@ -43,18 +45,18 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str,
     inner = f"__in{levels}"
     tot = f"__tot{levels}"
     off = f"__off{levels}"
-    d = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)).cast("long"))
+    base = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)).cast("long"))
     frame = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(
         Window.unboundedPreceding, 0 if inclusive else -1)
-    d = d.withColumn(inner, F.coalesce(F.sum(value).over(frame), F.lit(0)))
-    totals = d.groupBy(*keys, blk).agg(F.sum(value).alias(tot))
+    d = base.withColumn(inner, F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    totals = base.groupBy(*keys, blk).agg(F.sum(value).alias(tot))
     totals = running_total(totals, keys, blk, tot, off, block, levels - 1)
     d = d.join(totals.select(*keys, blk, off), [*keys, blk], "inner")
     return d.withColumn(out, (F.col(off) + F.col(inner)).cast("long")).drop(blk, inner, off)
 
 
 def number_within(df: DataFrame, keys: Sequence[str], order: str, out: str,
-                  block: int = 4096, levels: int = 2) -> DataFrame:
+                  block: int = 65536, levels: int = 1) -> DataFrame:
     """0-based position of each row among the rows of its key, by ``order``."""
     d = df.withColumn("__one", F.lit(1))
     return running_total(d, keys, order, "__one", out, block, levels).drop("__one")

@@ -113,6 +113,33 @@ def parse_verdict(raw, final) -> Column:
     return F.when(final & js.isNotNull(), js).otherwise(parse_text_verdict(ans))
 
 
+def with_verdict(df: DataFrame, raw: str, final, out: str) -> DataFrame:
+    """M2-M4 as a chain of projections: each costly step (strip, slice,
+    strict parse) is its own column, computed once per row; Catalyst keeps the
+    projections apart because a later one reads them more than once.
+    ``final`` is a bool or a boolean Column."""
+    tmp = [f"__{out}_{n}" for n in ("ans", "slice", "parsed", "json")]
+    ans, sl, parsed, js = tmp
+    d = df.withColumn(ans, final_answer(raw))
+    text_v = parse_text_verdict(ans)
+    if final is False:
+        return d.withColumn(out, text_v).drop(ans)
+    final_c = final if isinstance(final, Column) else F.lit(bool(final))
+    d = d.withColumn(sl, F.when(final_c, F.regexp_extract(ans, r"(?s)\{.*\}", 0)))
+    d = d.withColumn(parsed, F.when(F.length(sl) > 0, F.from_json(
+        F.concat(F.lit("["), F.col(sl), F.lit("]")), "array<map<string,string>>", JSON_OPTIONS)))
+    ok = F.col(parsed).isNotNull() & (F.size(parsed) == 1) & F.element_at(parsed, 1).isNotNull()
+    d = d.withColumn(js, F.when(ok, F.map_entries(F.element_at(parsed, 1))))
+    entries = F.col(js)
+    verdict = F.coalesce(json_last(entries, "verdict"), F.lit(NEGATIVE))
+    combined = py_strip(F.concat(F.coalesce(json_last(entries, "excerpt"), F.lit("")),
+                                 F.lit(EXPLANATION_JOIN),
+                                 F.coalesce(json_last(entries, "explanation"), F.lit(""))))
+    return d.withColumn(out, F.when(entries.isNull(), text_v)
+                        .when(verdict == POSITIVE, _verdict(True, POSITIVE, CONF_EXACT, combined))
+                        .otherwise(_verdict(True, NEGATIVE, CONF_EXACT, ""))).drop(*tmp)
+
+
 def resolve_attempts(attempts: DataFrame, keys: Sequence[str], attempt_col: str = "attempt",
                      verdict_col: str = "v") -> DataFrame:
     """M5: per key, the clear verdict of the earliest try among the first

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from ..functions.text import WS
 from .replay import ANSWERS, SAMPLES, sql_pick
+from .rules import LENGTHY, SCREEN, VERIFY, sql_rule
 
 STRIP = f"'^{WS}+|{WS}+\\z'"
 
@@ -144,6 +145,95 @@ SELECT doc_id,
 FROM sh"""
 
 
+def _trail(k: int, n: int, outcome: str) -> str:
+    if outcome == "accepted":
+        steps = [f"Model {i + 1}: 1" for i in range(n)]
+        return "'" + " | ".join(steps) + f" | → All {n} approved'"
+    steps = [f"Model {i + 1}: 1" for i in range(k)] + [f"Model {k + 1}: 0"]
+    return "'" + " | ".join(steps) + (" → rejected'" if outcome == "rejected" else " → error'")
+
+
+def rule_cascade_sql(passages_sql: str, judges: list, keys: list[str],
+                     carry: list[str] = (), single_model_final: bool = False) -> str:
+    """A cascade of rule judges in SQL: one CTE chain per stage, terminal
+    rows of every stage unioned."""
+    n = len(judges)
+    k_cols = ", ".join(keys)
+    carry_cols = "".join(f", {c}" for c in carry)
+    ctes = [f"p0 AS ({passages_sql})"]
+    outs = []
+    for k, table in enumerate(judges):
+        final = "true" if (k == n - 1 and (n > 1 or single_model_final)) else "false"
+        src = f"p{k}"
+        ctes.append(f"""r{k} AS (
+  SELECT {k_cols}, text, {sql_rule(table, 'text')} AS raw FROM {src})""")
+        ctes.append(f"""a{k} AS (
+  SELECT *, {_final_answer('raw')} AS ans, {_sample_answer('raw')} AS sa FROM r{k})""")
+        ctes.append(f"""v{k} AS (
+  SELECT {k_cols}, text, CAST(contains(sa, '1') AS DOUBLE) AS pos,
+         CAST(contains(sa, '0') AS DOUBLE) AS neg, {_verdict_cols('ans', final)} FROM a{k})""")
+        vp = "(pos + neg > 0 AND pos / (pos + neg) > neg / (pos + neg))"
+        ctes.append(f"""s{k} AS (
+  SELECT {k_cols}, text,
+    CASE WHEN clear THEN label WHEN {vp} THEN '1' ELSE '0' END AS label,
+    CASE WHEN clear THEN confidence WHEN pos + neg <= 0 THEN 0.0
+         WHEN {vp} THEN pos / (pos + neg) ELSE neg / (pos + neg) END AS confidence,
+    CASE WHEN clear THEN explanation WHEN {vp} THEN 'Match detected.' ELSE '' END AS explanation,
+    CASE WHEN clear THEN 'clear' WHEN pos + neg <= 0 THEN 'error' ELSE 'vote' END AS status
+  FROM v{k})""")
+        outs.append(f"""SELECT {k_cols}{carry_cols}, '0' AS label,
+    CASE WHEN status = 'error' THEN 0.0 ELSE confidence END AS confidence, '' AS explanation,
+    CASE WHEN status = 'error' THEN {_trail(k, n, 'error')} ELSE {_trail(k, n, 'rejected')} END
+      AS cascade_info,
+    CASE WHEN status = 'error' THEN 'error' ELSE 'rejected' END AS status,
+    confidence AS model_confidence
+  FROM s{k} WHERE label <> '1' OR status = 'error'""")
+        if k < n - 1:
+            ctes.append(f"p{k + 1} AS (SELECT {k_cols}, text FROM s{k} "
+                        f"WHERE label = '1' AND status <> 'error')")
+    last = n - 1
+    outs.append(f"""SELECT {k_cols}{carry_cols}, '1' AS label, CAST(0.95 AS DOUBLE) AS confidence,
+    explanation, {_trail(last, n, 'accepted')} AS cascade_info, 'accepted' AS status,
+    confidence AS model_confidence
+  FROM s{last} WHERE label = '1' AND status <> 'error'""")
+    return "WITH " + ",\n".join(ctes) + "\n" + "\nUNION ALL\n".join(outs)
+
+
+CASCADE_RULE = rule_cascade_sql(TXT_STANZAS, [SCREEN, VERIFY], ["doc_id", "passage_no"])
+
+CASCADE_TRAIL = f"""
+SELECT cascade_info, status, count(*) AS passages,
+       CAST(sum(CASE WHEN label = '1' THEN 1 ELSE 0 END) AS BIGINT) AS found
+FROM ({rule_cascade_sql(PARAGRAPHS_FALLBACK, [SCREEN, LENGTHY, VERIFY], ["doc_id", "passage_no"])})
+GROUP BY cascade_info, status"""
+
+_FOUND = f"""SELECT * FROM ({rule_cascade_sql(TXT_STANZAS, [SCREEN, VERIFY], ["doc_id", "passage_no"],
+                                               carry=["text"])}) WHERE label = '1'"""
+
+FINDINGS = f"""
+SELECT 0 AS run_id, doc_id, passage_no, finding_no, confidence, explanation,
+       '"' || text || '"' AS raw_quote,
+       CASE WHEN length(explanation) > 0 THEN
+         'Finding #' || finding_no || ' (Paragraph ' || (passage_no + 1) || ', Confidence: '
+         || printf('%.2f', confidence) || ')' || chr(10) || repeat('-', 60) || chr(10)
+         || 'Explanation: ' || explanation || chr(10) || chr(10) || text || chr(10) || chr(10)
+       END AS detail
+FROM (SELECT *, row_number() OVER (ORDER BY doc_id, passage_no) AS finding_no FROM ({_FOUND}))"""
+
+RUN_TOTALS = f"""
+SELECT 0 AS run_id, count(*) AS processed,
+       count(*) FILTER (WHERE label = '1') AS found,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE label = '1') AS DOUBLE) * 100.0
+            / count(*) END AS success_rate
+FROM ({CASCADE_RULE})"""
+
+RECENT_RESULTS = f"""
+SELECT * FROM (SELECT doc_id, passage_no, label, confidence, cascade_info FROM ({CASCADE_RULE})
+               ORDER BY doc_id DESC, passage_no DESC LIMIT 8)"""
+
+NEXT_RUN = "SELECT coalesce(max(doc_id), -1) + 1 AS next_run_id FROM labels"
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
@@ -151,4 +241,10 @@ def sql() -> dict[str, str]:
         "parse_verdicts": PARSE_VERDICTS,
         "resolve_attempts": RESOLVE_ATTEMPTS,
         "vote_resolution": VOTE_RESOLUTION,
+        "cascade_rule": CASCADE_RULE,
+        "cascade_trail": CASCADE_TRAIL,
+        "findings": FINDINGS,
+        "run_totals": RUN_TOTALS,
+        "recent_results": RECENT_RESULTS,
+        "next_run": NEXT_RUN,
     }

@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cascade as C
 from ..operators import passages as P
+from ..operators import reports as K
 from ..operators import verdicts as V
+from ..session import materialize
 from ..sources import table
 from .replay import ANSWERS, SAMPLES, pick
+from .rules import three_judges, two_judges
 
 
 # ------------------------------------------------------------- text path
@@ -55,7 +59,8 @@ def parse_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2-M4 over replayed answers; model 1 is the final (JSON) model."""
     rows = _replayed(spark, sf_dir, {"model_idx": [0, 1]})
     rows = rows.withColumn("raw", pick(ANSWERS, F.col("doc_id") * 7 + F.col("model_idx") * 3))
-    v = V.parse_verdict("raw", F.col("model_idx") == 1)
+    rows = V.with_verdict(rows, "raw", F.col("model_idx") == 1, "v")
+    v = F.col("v")
     return rows.select("doc_id", "model_idx", "raw", v["clear"].alias("clear"),
                        v["label"].alias("label"), v["confidence"].alias("confidence"),
                        v["explanation"].alias("explanation"))
@@ -66,7 +71,7 @@ def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _replayed(spark, sf_dir, {"model_idx": [0, 1], "attempt": [1, 2, 3]})
     rows = rows.withColumn("raw", pick(ANSWERS, F.col("doc_id") * 5 + F.col("model_idx") * 11
                                        + F.col("attempt") * 13))
-    rows = rows.withColumn("v", V.parse_verdict("raw", F.col("model_idx") == 1))
+    rows = V.with_verdict(rows, "raw", F.col("model_idx") == 1, "v")
     return V.resolve_attempts(rows, ["doc_id", "model_idx"])
 
 
@@ -78,12 +83,72 @@ def vote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_by_vote(V.label_shares(rows, ["doc_id"]))
 
 
+# ----------------------------------------------------------------- cascade
+KEYS = ["doc_id", "passage_no"]
+
+
+def cascade_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8 (+M5-M7, M9, M10) with two rule judges over conversation stanzas:
+    one projection over the passages, later judges only on accepted rows."""
+    return C.cascade_rules(conversation_stanzas(spark, sf_dir), two_judges(), KEYS)
+
+
+def cascade_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: how document paragraphs end in a three-judge cascade, by trail."""
+    res = C.cascade_rules(document_paragraphs(spark, sf_dir), three_judges(), KEYS)
+    return res.groupBy("cascade_info", "status").agg(
+        F.count(F.lit(1)).alias("passages"),
+        F.count(F.when(F.col("label") == "1", True)).alias("found"))
+
+
+def _run_results(spark: SparkSession, sf_dir: str, carry=()) -> DataFrame:
+    return C.cascade_rules(conversation_stanzas(spark, sf_dir), two_judges(), KEYS,
+                           carry=list(carry)).withColumn("run_id", F.lit(0))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted passages numbered per run, with the quote line and
+    the detailed-report block."""
+    results = materialize(_run_results(spark, sf_dir, carry=["text"]))
+    found = results.where(F.col("label") == "1")
+    numbered = K.number_findings(found)
+    return numbered.select(
+        "run_id", "doc_id", "passage_no", "finding_no", "confidence", "explanation",
+        K.raw_quote("text").alias("raw_quote"),
+        K.detail_entry("finding_no", "passage_no", "confidence", "explanation", "text")
+        .alias("detail"))
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1 + A2 over the cascade results."""
+    return K.run_totals(_run_results(spark, sf_dir))
+
+
+def recent_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last eight finished passages (in passage order), oldest first."""
+    res = _run_results(spark, sf_dir)
+    return K.recent(res, ["doc_id", "passage_no"]).select(
+        "doc_id", "passage_no", "label", "confidence", "cascade_info")
+
+
+def next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next free run id given the existing ids (here ``labels.doc_id``)."""
+    runs = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("run_id"))
+    return K.next_run_id(runs)
+
+
 REGISTRY = {
     "txt_stanzas": txt_stanzas,
     "paragraphs_fallback": paragraphs_fallback,
     "parse_verdicts": parse_verdicts,
     "resolve_attempts": resolve_attempts,
     "vote_resolution": vote_resolution,
+    "cascade_rule": cascade_rule,
+    "cascade_trail": cascade_trail,
+    "findings": findings,
+    "run_totals": run_totals,
+    "recent_results": recent_results,
+    "next_run": next_run,
 }
 
 FLAGSHIP = txt_stanzas

@@ -73,3 +73,12 @@ def ensure_work_dir_for_local(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def materialize(df):
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared
+    folder. Reports over cascade results read such a copy: it keeps the
+    optimizer from inlining the judge expressions into every later filter or
+    join, and a lost executor does not re-run the judges."""
+    ensure_work_dir_for_local(df.sparkSession)
+    return df.checkpoint(eager=True)
