@@ -10,6 +10,11 @@ from __future__ import annotations
 from ..functions.text import WS
 from .replay import ANSWERS, SAMPLES, sql_pick
 from .rules import LENGTHY, SCREEN, VERIFY, sql_rule
+from ..operators.prompts import FENCE, FINAL_INSTRUCTIONS, QUESTION, SHORT_INSTRUCTIONS, TEXT_CLOSE, TEXT_OPEN
+
+
+def _lit(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
 
 STRIP = f"'^{WS}+|{WS}+\\z'"
 
@@ -234,6 +239,83 @@ SELECT * FROM (SELECT doc_id, passage_no, label, confidence, cascade_info FROM (
 NEXT_RUN = "SELECT coalesce(max(doc_id), -1) + 1 AS next_run_id FROM labels"
 
 
+COMPLETED_RANGES = """
+SELECT min(doc_id) AS lo, max(doc_id) AS hi
+FROM (SELECT doc_id, doc_id - row_number() OVER (ORDER BY doc_id) AS g
+      FROM (SELECT DISTINCT doc_id FROM labels))
+GROUP BY g"""
+
+EXPANDED_RANGES = """
+SELECT doc_id, unnest(generate_series(doc_id, doc_id + quality + 2 * toxic)) AS n FROM labels"""
+
+_DONE = """(SELECT doc_id, CAST(unnest(generate_series(0, quality + toxic)) AS INTEGER) AS passage_no
+   FROM labels)"""
+
+PENDING_PASSAGES = f"""
+SELECT s.* FROM ({TXT_STANZAS}) s
+WHERE NOT EXISTS (SELECT 1 FROM {_DONE} d WHERE d.doc_id = s.doc_id AND d.passage_no = s.passage_no)"""
+
+PROGRESS_STATE = f"""
+WITH s AS ({TXT_STANZAS}),
+d AS (SELECT DISTINCT d.doc_id, d.passage_no FROM {_DONE} d
+      JOIN s ON d.doc_id = s.doc_id AND d.passage_no = s.passage_no)
+SELECT s.doc_id, count(*) AS total,
+       count(d.passage_no) AS completed,
+       count(*) - count(d.passage_no) AS remaining,
+       max(d.passage_no) + 1 AS resume_from
+FROM s LEFT JOIN d ON s.doc_id = d.doc_id AND s.passage_no = d.passage_no
+GROUP BY s.doc_id"""
+
+_JOBS = """(SELECT source AS job_id,
+   CASE min(lang) WHEN 'de' THEN ['screen', 'verify'] WHEN 'en' THEN ['screen', 'lengthy', 'verify']
+        WHEN 'es' THEN ['screen', 'oracle-x'] ELSE CAST([] AS VARCHAR[]) END AS model_names,
+   source || CASE min(lang) WHEN 'de' THEN '.pdf' WHEN 'en' THEN '.txt' WHEN 'es' THEN '.HTML'
+        ELSE '.htm' END AS target_file,
+   CASE WHEN min(n_chars) < 10 THEN '  ' ELSE 'a sentence in ' || min(lang) END AS search_criteria
+ FROM documents GROUP BY source)"""
+
+
+def _validated(jobs: str) -> str:
+    suffix = "lower(regexp_extract(regexp_extract(target_file, '([^/]*)$', 1), '[^.](\\.[^.]+)$', 1))"
+    missing = ("list_filter([CASE WHEN model_names IS NULL THEN 'model_names' END, "
+               "CASE WHEN target_file IS NULL THEN 'target_file' END, "
+               "CASE WHEN search_criteria IS NULL THEN 'search_criteria' END], lambda x: x IS NOT NULL)")
+    blank = (f"list_filter([CASE WHEN model_names IS NOT NULL AND len(model_names) = 0 THEN 'model_names' END, "
+             f"CASE WHEN target_file IS NOT NULL AND length({_strip('target_file')}) = 0 THEN 'target_file' END, "
+             f"CASE WHEN search_criteria IS NOT NULL AND length({_strip('search_criteria')}) = 0 "
+             f"THEN 'search_criteria' END], lambda x: x IS NOT NULL)")
+    unknown = "list_filter(coalesce(model_names, []), lambda m: NOT list_contains(['screen', 'lengthy', 'verify'], m))"
+    problems = (f"list_filter(["
+                f"CASE WHEN len({missing}) > 0 THEN 'missing: ' || array_to_string({missing}, ', ') END, "
+                f"CASE WHEN len({blank}) > 0 THEN 'empty: ' || array_to_string({blank}, ', ') END, "
+                f"CASE WHEN len({unknown}) > 0 THEN 'unknown models: ' || array_to_string({unknown}, ', ') END, "
+                f"CASE WHEN target_file IS NOT NULL AND length({_strip('target_file')}) > 0 "
+                f"AND {suffix} NOT IN ('.html', '.txt', '.pdf') THEN 'unsupported type: ' || {suffix} END"
+                f"], lambda x: x IS NOT NULL)")
+    return (f"(SELECT job_id, search_criteria, len({problems}) = 0 AS valid, "
+            f"array_to_string({problems}, '; ') AS problems FROM {jobs})")
+
+
+VALIDATE_JOBS = f"SELECT job_id, valid, problems FROM {_validated(_JOBS)}"
+
+
+def _prompt(criterion: str, text: str, final: bool) -> str:
+    instr = FINAL_INSTRUCTIONS if final else SHORT_INSTRUCTIONS
+    nl = "chr(10)"
+    return (f"({_lit(QUESTION)} || {nl} || {_lit(FENCE)} || {nl} || {criterion} || {nl} || "
+            f"{_lit(FENCE)} || {nl} || {_lit(instr)} || {nl} || {nl} || {_lit(TEXT_OPEN)} || "
+            f"{text} || {_lit(TEXT_CLOSE)})")
+
+
+BUILD_PROMPTS = f"""
+WITH p AS ({_numbered(f"(SELECT doc_id, {_paragraphs('text')} AS arr FROM documents)")}),
+j AS (SELECT job_id, search_criteria FROM {_validated(_JOBS)} WHERE valid)
+SELECT p.doc_id, p.passage_no, j.job_id,
+       {_prompt('j.search_criteria', 'p.text', False)} AS prompt_short,
+       {_prompt('j.search_criteria', 'p.text', True)} AS prompt_final
+FROM p JOIN documents d ON d.doc_id = p.doc_id JOIN j ON j.job_id = d.source"""
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
@@ -247,4 +329,10 @@ def sql() -> dict[str, str]:
         "run_totals": RUN_TOTALS,
         "recent_results": RECENT_RESULTS,
         "next_run": NEXT_RUN,
+        "completed_ranges": COMPLETED_RANGES,
+        "expanded_ranges": EXPANDED_RANGES,
+        "pending_passages": PENDING_PASSAGES,
+        "progress_state": PROGRESS_STATE,
+        "validate_jobs": VALIDATE_JOBS,
+        "build_prompts": BUILD_PROMPTS,
     }

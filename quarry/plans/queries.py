@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cascade as C
+from ..operators import jobs as J
+from ..operators import progress as R
+from ..operators.prompts import build_prompt
 from ..operators import passages as P
 from ..operators import reports as K
 from ..operators import verdicts as V
@@ -137,6 +140,89 @@ def next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.next_run_id(runs)
 
 
+# ------------------------------------------------------------------ resume
+def _label_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select("doc_id", F.lit(0).alias("set_id"))
+
+
+def completed_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The (gapped) ``labels.doc_id`` set as maximal consecutive runs."""
+    return R.compress_ranges(_label_set(spark, sf_dir), ["set_id"], "doc_id").select("lo", "hi")
+
+
+def expanded_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges ``[doc_id, doc_id + quality + 2*toxic]`` back to numbers."""
+    ranges = table(spark, sf_dir, "labels").select(
+        "doc_id", F.col("doc_id").alias("lo"),
+        (F.col("doc_id") + F.col("quality") + 2 * F.col("toxic")).alias("hi"))
+    return R.expand_ranges(ranges, ["doc_id"], out="n")
+
+
+def _completed_stanzas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress of an earlier session: for each labelled id, passages
+    ``0 .. quality + toxic`` of that conversation are done."""
+    ranges = table(spark, sf_dir, "labels").select(
+        "doc_id", F.lit(0).alias("lo"), (F.col("quality") + F.col("toxic")).alias("hi"))
+    return R.expand_ranges(ranges, ["doc_id"]).select(
+        "doc_id", F.col("passage_no").cast("int").alias("passage_no"))
+
+
+def pending_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation stanzas not completed yet."""
+    return R.pending(conversation_stanzas(spark, sf_dir), _completed_stanzas(spark, sf_dir))
+
+
+def progress_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 + A4 per conversation: total, completed, remaining, resume point."""
+    passages = conversation_stanzas(spark, sf_dir)
+    done = _completed_stanzas(spark, sf_dir).join(passages.select(*KEYS), KEYS, "left_semi")
+    left = R.pending(passages, done)
+    return K.remaining(passages, left).join(K.resume_state(done), ["doc_id"], "left") \
+        .select("doc_id", "total", F.coalesce("completed", F.lit(0)).alias("completed"),
+                "remaining", "resume_from")
+
+
+# -------------------------------------------------------------------- jobs
+MODELS = ["screen", "lengthy", "verify"]
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One job per document source; fields chosen by rule so that every
+    validation branch occurs."""
+    src = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.min("lang").alias("lang"), F.min("n_chars").alias("shortest"))
+    lang = F.col("lang")
+    return src.select(
+        F.col("source").alias("job_id"),
+        F.when(lang == "de", F.array(F.lit("screen"), F.lit("verify")))
+         .when(lang == "en", F.array(*[F.lit(m) for m in MODELS]))
+         .when(lang == "es", F.array(F.lit("screen"), F.lit("oracle-x")))
+         .otherwise(F.array().cast("array<string>")).alias("model_names"),
+        F.concat("source", F.when(lang == "de", ".pdf").when(lang == "en", ".txt")
+                 .when(lang == "es", ".HTML").otherwise(".htm")).alias("target_file"),
+        F.when(F.col("shortest") < 10, F.lit("  "))
+         .otherwise(F.concat(F.lit("a sentence in "), lang)).alias("search_criteria"))
+
+
+def validate_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7 over the derived jobs."""
+    return J.validate_jobs(_jobs(spark, sf_dir), MODELS).select("job_id", "valid", "problems")
+
+
+def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 + R5: document paragraphs meet the valid job aimed at their
+    source; both prompt forms."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", P.paragraphs("text").alias("ps"))
+    paras = P.number_passages(docs, "ps", ["doc_id", "source"])
+    jobs = J.validate_jobs(_jobs(spark, sf_dir), MODELS).where("valid") \
+        .select("job_id", "search_criteria")
+    joined = J.attach_jobs(paras, jobs, "source", "job_id")
+    return joined.select(
+        "doc_id", F.col("passage_no").cast("int").alias("passage_no"), "job_id",
+        build_prompt(F.col("search_criteria"), F.col("text"), False).alias("prompt_short"),
+        build_prompt(F.col("search_criteria"), F.col("text"), True).alias("prompt_final"))
+
+
 REGISTRY = {
     "txt_stanzas": txt_stanzas,
     "paragraphs_fallback": paragraphs_fallback,
@@ -149,6 +235,12 @@ REGISTRY = {
     "run_totals": run_totals,
     "recent_results": recent_results,
     "next_run": next_run,
+    "completed_ranges": completed_ranges,
+    "expanded_ranges": expanded_ranges,
+    "pending_passages": pending_passages,
+    "progress_state": progress_state,
+    "validate_jobs": validate_jobs,
+    "build_prompts": build_prompts,
 }
 
 FLAGSHIP = txt_stanzas
