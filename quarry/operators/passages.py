@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, as_col, clean_piece, is_blank, is_upper, py_strip, split_keep
+from ..functions.text import WS, as_col, clean_piece, is_blank, is_upper, py_strip, split_keep  # noqa: F401
 from .sequence import number_within, running_total
 
 # The length floors and piece counts of the passage rules.

@@ -316,6 +316,55 @@ SELECT p.doc_id, p.passage_no, j.job_id,
 FROM p JOIN documents d ON d.doc_id = p.doc_id JOIN j ON j.job_id = d.source"""
 
 
+def _packed(paras: str) -> str:
+    """T10 by recursion over passage numbers: a chunk closes after the
+    passage that brings its count (length + 2 each) to 1600."""
+    return f"""WITH RECURSIVE p AS ({paras}),
+w AS (SELECT doc_id, passage_no, text, length(text) + 2 AS w FROM p),
+r AS (
+  SELECT doc_id, passage_no, 0 AS chunk, w AS acc FROM w WHERE passage_no = 0
+  UNION ALL
+  SELECT w.doc_id, w.passage_no,
+         CASE WHEN r.acc >= 1600 THEN r.chunk + 1 ELSE r.chunk END,
+         CASE WHEN r.acc >= 1600 THEN w.w ELSE r.acc + w.w END
+  FROM r JOIN w ON w.doc_id = r.doc_id AND w.passage_no = r.passage_no + 1
+)
+SELECT r.doc_id, CAST(r.chunk AS INTEGER) AS passage_no,
+       string_agg(w.text, chr(10) || chr(10) ORDER BY w.passage_no) AS text
+FROM r JOIN w ON w.doc_id = r.doc_id AND w.passage_no = r.passage_no
+GROUP BY r.doc_id, r.chunk"""
+
+
+PACK_CHUNKS = _packed(PARAGRAPHS_FALLBACK)
+
+_PAGES = """(SELECT doc_id, page_no, substring(text, page_no * 700 + 1, 700) AS text
+   FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 700) AS BIGINT) - 1)) AS page_no
+         FROM documents WHERE length(text) > 0))"""
+
+_REFLOWED = f"""(WITH joined AS (
+  SELECT doc_id, string_agg(text, '' ORDER BY page_no) AS txt FROM {_PAGES}
+  WHERE length(text) > 0 GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, unnest(string_split(txt, chr(10))) AS line,
+         unnest(generate_series(1, len(string_split(txt, chr(10))))) AS idx FROM joined),
+flagged AS (
+  SELECT *, CASE WHEN length({_strip('line')}) = 0 THEN 1 ELSE 0 END AS blank FROM lines),
+grouped AS (
+  SELECT *, sum(blank) OVER (PARTITION BY doc_id ORDER BY idx) AS para FROM flagged),
+paras AS (
+  SELECT doc_id, para, {_strip(f"string_agg({_strip('line')}, ' ' ORDER BY idx)")} AS text
+  FROM grouped WHERE blank = 0 GROUP BY doc_id, para)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para) - 1 AS INTEGER) AS para_no,
+       text FROM paras)"""
+
+REFLOW_PAGES = f"SELECT * FROM {_REFLOWED}"
+
+PDF_CHUNKS = _packed(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY para_no) - 1
+        AS INTEGER) AS passage_no, text
+   FROM (SELECT doc_id, para_no, {_clean('text')} AS text FROM {_REFLOWED})
+   WHERE length(text) > 30""")
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
@@ -335,4 +384,7 @@ def sql() -> dict[str, str]:
         "progress_state": PROGRESS_STATE,
         "validate_jobs": VALIDATE_JOBS,
         "build_prompts": BUILD_PROMPTS,
+        "pack_chunks": PACK_CHUNKS,
+        "reflow_pages": REFLOW_PAGES,
+        "pdf_chunks": PDF_CHUNKS,
     }

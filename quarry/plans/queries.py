@@ -86,6 +86,48 @@ def vote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_by_vote(V.label_shares(rows, ["doc_id"]))
 
 
+def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's kept paragraphs packed into >= 1600-character
+    chunks (one fold per document row, no shuffle)."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", P.pack_chunks(P.paragraphs("text")).alias("chunks"))
+    return P.number_passages(docs, "chunks", ["doc_id"]) \
+        .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
+
+
+PAGE_WIDTH = 700   # characters per synthetic page when documents stand in for PDF page text
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` cut into fixed-width pages ``(doc_id, page_no, text)``:
+    the page-text input an extractor would give (S3 input)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_pages = F.ceil(F.length("text") / PAGE_WIDTH).cast("int")
+    pages = docs.select("doc_id", "text", F.explode(
+        F.when(n_pages > 0, F.sequence(F.lit(0), n_pages - 1))
+         .otherwise(F.array().cast("array<int>"))).alias("page_no"))
+    return pages.select("doc_id", "page_no",
+                        F.substring("text", F.col("page_no") * PAGE_WIDTH + 1, PAGE_WIDTH).alias("text"))
+
+
+def reflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: page texts fused in page order, lines reflowed into paragraphs."""
+    return P.reflow_pages(page_text(spark, sf_dir))
+
+
+def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + T7 + T10: the whole page-text path to numbered chunks."""
+    paras = P.reflow_pages(page_text(spark, sf_dir)) \
+        .withColumn("text", P.clean_piece("text")) \
+        .where(F.length("text") > P.PARAGRAPH_MIN_CHARS)
+    per_doc = paras.groupBy("doc_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))),
+                    lambda s: s["text"]).alias("ps"))
+    chunks = per_doc.select("doc_id", P.pack_chunks("ps").alias("chunks"))
+    return P.number_passages(chunks, "chunks", ["doc_id"]) \
+        .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
+
+
 # ----------------------------------------------------------------- cascade
 KEYS = ["doc_id", "passage_no"]
 
@@ -241,6 +283,9 @@ REGISTRY = {
     "progress_state": progress_state,
     "validate_jobs": validate_jobs,
     "build_prompts": build_prompts,
+    "pack_chunks": pack_chunks,
+    "reflow_pages": reflow_pages,
+    "pdf_chunks": pdf_chunks,
 }
 
 FLAGSHIP = txt_stanzas
