@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cascade as C
+from ..operators import html as H
 from ..operators import jobs as J
 from ..operators import progress as R
 from ..operators.prompts import build_prompt
@@ -86,6 +87,16 @@ def vote_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.resolve_by_vote(V.label_shares(rows, ["doc_id"]))
 
 
+def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 (+T2 fallback, F4) then T3-T7, T11 over ``pages``: the paragraph
+    texts are joined by blank lines and split again, as the rules compose."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    text = H.with_html_text(pages, "html", "page_text")
+    docs = text.select("doc_id", P.paragraphs("page_text").alias("ps"))
+    return P.number_passages(docs, "ps", ["doc_id"]) \
+        .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
+
+
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's kept paragraphs packed into >= 1600-character
     chunks (one fold per document row, no shuffle)."""
@@ -286,6 +297,7 @@ REGISTRY = {
     "pack_chunks": pack_chunks,
     "reflow_pages": reflow_pages,
     "pdf_chunks": pdf_chunks,
+    "html_paragraphs": html_paragraphs,
 }
 
 FLAGSHIP = txt_stanzas
