@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _unescape_all(texts: pd.Series) -> pd.Series:
+def _unescape_all_fn(texts: pd.Series) -> pd.Series:
     def one(arr):
         if arr is None:
             return None
@@ -25,11 +24,17 @@ def _unescape_all(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
+def _unescape_fn(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else (html.unescape(t) if "&" in t else t))
 
 
+# Marked non-deterministic so the optimizer keeps the call in its own
+# projection (it is never inlined into a later higher-order function, where a
+# Python function cannot run) and evaluates it once per row.
+_unescape_all = F.pandas_udf(_unescape_all_fn, ArrayType(StringType())).asNondeterministic()
+_unescape = F.pandas_udf(_unescape_fn, StringType()).asNondeterministic()
+
+
 def unescape(c: Column) -> Column:
     """Decode references in a string column (Python only where '&' occurs)."""
     return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)
