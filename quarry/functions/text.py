@@ -20,6 +20,13 @@ from pyspark.sql import functions as F
 WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
+# The same set as a plain string, for the native character trim.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
+# Whitespace other than the plain space (a lone space needs no rewrite).
+WS_NOT_SPACE = WS.replace(" ", "")
+
 # The line boundaries of Python's str.splitlines().
 #   \r\n, \n, \r, \x0b, \x0c, \x1c, \x1d, \x1e, \x85, U+2028, U+2029
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -35,13 +42,30 @@ def as_col(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: drop Unicode whitespace at both ends (F1)."""
-    return F.regexp_replace(as_col(c), STRIP_RE, "")
+    """``str.strip()``: drop Unicode whitespace at both ends (F1); a native
+    character-set trim, no regular expression."""
+    return F.trim(as_col(c), F.lit(WS_CHARS))
 
 
 def collapse_ws(c) -> Column:
-    """strip, then every whitespace run becomes one space."""
-    return F.regexp_replace(py_strip(c), f"{WS}+", " ")
+    """strip, then every whitespace run becomes one space (T3). Native steps:
+    a character map turns every whitespace character into a space, and only
+    text holding a double space goes through a (single-character) regex."""
+    return _squeeze(_spaced(c))
+
+
+def _spaced(c) -> Column:
+    return F.translate(py_strip(c), WS_CHARS.replace(" ", ""), " " * (len(WS_CHARS) - 1))
+
+
+def _squeeze(spaced: Column) -> Column:
+    return F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+
+
+def collapse_each(arr) -> Column:
+    """``collapse_ws`` on every string of an array, one pass per step (a
+    lambda body is interpreted, so a shared sub-result is not re-evaluated)."""
+    return F.transform(F.transform(as_col(arr), _spaced), _squeeze)
 
 
 def is_blank(c) -> Column:

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import WS, as_col, clean_piece, is_blank, is_upper, py_strip, split_keep  # noqa: F401
+from ..functions.text import (WS, as_col, clean_piece, collapse_each, collapse_ws,  # noqa: F401
+                              digits_only,
+                              is_blank, is_upper, py_strip, split_keep)
 from .sequence import number_within, running_total
 
 # The length floors and piece counts of the passage rules.
@@ -37,9 +39,11 @@ def paragraph_pieces(text) -> Column:
 
 
 def clean_and_filter(pieces) -> Column:
-    """Clean each piece (T3 + T4), keep those longer than 30 characters."""
-    return F.filter(F.transform(as_col(pieces), clean_piece),
-                    lambda p: F.length(p) > PARAGRAPH_MIN_CHARS)
+    """Clean each piece (T3 + T4), keep those longer than 30 characters.
+    T4 blanks number-only pieces, which the length floor then drops, so the
+    two are one filter on the collapsed piece."""
+    return F.filter(collapse_each(pieces),
+                    lambda p: (F.length(p) > PARAGRAPH_MIN_CHARS) & ~digits_only(p))
 
 
 def paragraphs(text) -> Column:
