@@ -137,22 +137,22 @@ def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str =
     pages = page_text.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)) \
         .select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"),
                 F.split(text_col, "\n", -1).alias("frags"))
-    # a page of f fragments holds f-1 line breaks
-    frag_base = running_total(pages.withColumn("__nf", F.size("frags").cast("long")),
-                              ["doc_id"], "page_no", "__nf", "frag_base")
-    frags = frag_base.select("doc_id", "frag_base",
-                             F.posexplode("frags").alias("fpos", "frag"),
-                             F.size("frags").alias("nf"))
-    # global fragment index per document; a fragment closes its line unless it
-    # is the last fragment of its page (then it fuses with the next page)
-    frags = frags.select(
-        "doc_id", "frag",
-        (F.col("frag_base") + F.col("fpos")).alias("gi"),
-        (F.col("fpos") < F.col("nf") - 1).cast("long").alias("closes"))
-    frags = running_total(frags, ["doc_id"], "gi", "closes", "line_no")
-    lines = frags.groupBy("doc_id", "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gi", "frag"))),
+    # a page of f fragments holds f-1 line breaks: the line number of its first
+    # fragment is the count of breaks on earlier pages (a page-level total)
+    pages = running_total(pages.withColumn("__nb", (F.size("frags") - 1).cast("long")),
+                          ["doc_id"], "page_no", "__nb", "line_base").drop("__nb")
+    frags = pages.select("doc_id", "page_no", "line_base",
+                         F.posexplode("frags").alias("fpos", "frag"), F.size("frags").alias("nf"))
+    frags = frags.select("doc_id", "page_no", "fpos", "frag",
+                         (F.col("line_base") + F.col("fpos")).alias("line_no"),
+                         ((F.col("fpos") > 0) & (F.col("fpos") < F.col("nf") - 1)).alias("inner"))
+    # lines strictly inside a page are whole; only a page's first and last
+    # fragments can fuse with neighbours, so only those are grouped
+    inner = frags.where("inner").select("doc_id", "line_no", F.col("frag").alias("line"))
+    edges = frags.where(~F.col("inner")).groupBy("doc_id", "line_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "fpos", "frag"))),
                                  lambda s: s["frag"]), "").alias("line"))
+    lines = inner.unionByName(edges)
     lines = lines.withColumn("blank", is_blank("line").cast("long"))
     # paragraph id = blank lines seen so far; blank lines themselves are dropped
     lines = running_total(lines, ["doc_id"], "line_no", "blank", "para_key", inclusive=True)
