@@ -435,6 +435,15 @@ WITH RECURSIVE toks AS (
 {_numbered(f"(SELECT doc_id, {_paragraphs('text')} AS arr FROM page_text)")}"""
 
 
+EXTRACT_PASSAGES = f"""
+SELECT doc_id, passage_no, 'paragraphs' AS content_type, text FROM ({HTML_PARAGRAPHS})
+UNION ALL
+SELECT doc_id, passage_no, 'stanzas' AS content_type, text
+FROM ({_numbered(f"(SELECT doc_id, {_stanzas('text')} AS arr FROM documents)")})
+UNION ALL
+SELECT doc_id, passage_no, 'chunks' AS content_type, text FROM ({PDF_CHUNKS})"""
+
+
 def sql() -> dict[str, str]:
     return {
         "txt_stanzas": TXT_STANZAS,
@@ -458,4 +467,5 @@ def sql() -> dict[str, str]:
         "reflow_pages": REFLOW_PAGES,
         "pdf_chunks": PDF_CHUNKS,
         "html_paragraphs": HTML_PARAGRAPHS,
+        "extract_passages": EXTRACT_PASSAGES,
     }

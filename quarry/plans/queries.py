@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cascade as C
+from ..operators import extract as X
 from ..operators import html as H
 from ..operators import jobs as J
 from ..operators import progress as R
@@ -139,6 +140,18 @@ def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
 
 
+def extract_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One documents table of mixed types -- pages as HTML, documents as
+    plain text and (through their page text) as PDF -- dispatched by type."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.lit(".html").alias("format"), F.col("html").alias("content"))
+    docs = table(spark, sf_dir, "documents")
+    txt = docs.select("doc_id", F.lit(".txt").alias("format"), F.col("text").alias("content"))
+    pdf = docs.select("doc_id", F.lit(".pdf").alias("format"), F.lit(None).cast("string").alias("content"))
+    passages, _ = X.extract_passages(pages.unionByName(txt).unionByName(pdf), page_text(spark, sf_dir))
+    return passages
+
+
 # ----------------------------------------------------------------- cascade
 KEYS = ["doc_id", "passage_no"]
 
@@ -298,6 +311,7 @@ REGISTRY = {
     "reflow_pages": reflow_pages,
     "pdf_chunks": pdf_chunks,
     "html_paragraphs": html_paragraphs,
+    "extract_passages": extract_passages,
 }
 
 FLAGSHIP = txt_stanzas
