@@ -209,13 +209,14 @@ class CascadeRun:
 
     # -- steps ---------------------------------------------------------
     def freeze_passages(self, passages: DataFrame, text_col: str = "text") -> DataFrame:
-        """Write the passages once; later sessions reuse them (numbering fixed)."""
+        """Append passages whose keys the run has not seen (numbering of stored
+        passages never changes); a stream adds each micro-batch this way."""
         path = f"{self.base}/passages"
         schema = f"{self._key_schema(passages)}, text string"
         existing = _read(self.spark, path, schema)
-        if existing.limit(1).count() == 0:
-            passages.select(*self.keys, F.col(text_col).alias("text")) \
-                .write.mode("overwrite").parquet(path)
+        new = passages.select(*self.keys, F.col(text_col).alias("text")) \
+            .join(existing.select(*self.keys), self.keys, "left_anti")
+        new.write.mode("append").parquet(path)
         return self.spark.read.parquet(path)
 
     def _ask(self, rows: DataFrame, judge: Judge, k: int, kind: str, final: bool,

@@ -6,6 +6,9 @@ results table (left anti join on the keys, so a replayed batch after a
 failure is a no-op), runs the cascade and appends. The stream checkpoint
 tracks which files were read; the results table is the resume state.
 
+Model judges run as the staged cascade of one run (``run_id``): each batch's
+new passages are appended to the run and only unjudged work is asked.
+
 Page text (S3) is not offered here: it needs every page of a document, which
 a file stream does not promise to deliver together.
 """
@@ -54,19 +57,32 @@ def score_stream(spark: SparkSession, source_dir: str, schema: str, kind: str,
                  judges: Sequence[C.Judge], results_path: str, checkpoint: str,
                  id_col: str = "doc_id", text_col: str = "text", fmt: str = "parquet",
                  max_files_per_trigger: int | None = None,
-                 available_now: bool = True) -> StreamingQuery:
-    """Start the scoring stream; returns the running query."""
+                 available_now: bool = True, criterion: str = "", work: str | None = None,
+                 run_id: int = 0) -> StreamingQuery:
+    """Start the scoring stream; returns the running query. Column judges
+    run in the batch itself; model judges (``Judge(call=...)``) need ``work``
+    (a shared folder) and ``criterion`` and run as a staged cascade."""
+    if any(j.call is not None for j in judges) and not work:
+        raise ValueError("model judges need work= (a shared folder for the stage tables)")
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     docs = reader.load(source_dir)
     passages = shape_passages(docs, kind, id_col, text_col)
 
+    python_judges = any(j.call is not None for j in judges)
+
     def judge_batch(batch: DataFrame, epoch_id: int) -> None:
         todo = batch.join(_existing_keys(batch.sparkSession, results_path), KEYS, "left_anti")
-        out = C.cascade_rules(todo, judges, KEYS, carry=["text"]) \
-            .withColumn("epoch_id", F.lit(epoch_id))
-        out.write.mode("append").parquet(results_path)
+        if python_judges:
+            # model judges: the staged run stores every answer, so a replayed
+            # batch re-asks nothing; results are the run's finished passages
+            run = C.CascadeRun(batch.sparkSession, work, run_id, judges, criterion)
+            out = run.run(todo).join(todo.select(*KEYS), KEYS, "left_semi") \
+                .join(todo.select(*KEYS, "text"), KEYS).drop("run_id")
+        else:
+            out = C.cascade_rules(todo, judges, KEYS, carry=["text"])
+        out.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(results_path)
 
     writer = passages.writeStream.foreachBatch(judge_batch) \
         .option("checkpointLocation", checkpoint)

@@ -42,3 +42,23 @@ def test_stream_equals_batch_and_is_idempotent(spark, scratch):
                       os.path.join(scratch, "ckpt2"))
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == got.count()
+
+
+def test_stream_with_model_judges(spark, scratch):
+    from test_cascade import _as_python
+    from quarry.plans.rules import SCREEN, VERIFY
+    src = os.path.join(scratch, "in")
+    os.makedirs(src)
+    docs = pq.read_table(f"{SF001}/documents.parquet").to_pandas()[["doc_id", "text"]]
+    for i, part in enumerate([docs.iloc[:100], docs.iloc[100:]]):
+        part.to_parquet(os.path.join(src, f"part{i}.parquet"))
+    judges = [C.Judge("screen", call=_as_python(SCREEN)), C.Judge("verify", call=_as_python(VERIFY))]
+    out = os.path.join(scratch, "out")
+    q = score_stream(spark, src, "doc_id long, text string", "text", judges, out,
+                     os.path.join(scratch, "ckpt"), max_files_per_trigger=1,
+                     criterion="x", work=os.path.join(scratch, "work"), run_id=5)
+    q.awaitTermination(600)
+    got = spark.read.parquet(out)
+    batch = C.cascade_rules(Q.document_paragraphs(spark, SF001), two_judges(), ["doc_id", "passage_no"])
+    cols = ["doc_id", "passage_no", "label", "cascade_info"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
