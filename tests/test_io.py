@@ -51,3 +51,29 @@ def test_results_keyed_restart_and_reports(spark, scratch):
     detail = "".join(open(f).read() for f in sorted(glob.glob(f"{out}/detailed_results/part-*")))
     assert detail.startswith("Matching Paragraphs Found\n" + "=" * 50 + "\n")
     assert "Finding #1 (Paragraph " in detail and "PROCESSING COMPLETE" in detail
+
+
+def test_read_and_validate_jobs(spark, scratch):
+    import json
+    from quarry.operators import jobs as J
+    d = os.path.join(scratch, "jobs")
+    os.makedirs(d)
+    cfgs = {
+        "good": {"model_names": ["screen", "verify"], "target_file": "book.html", "search_criteria": "x"},
+        "missing": {"model_names": ["screen"], "search_criteria": "x"},
+        "blank": {"model_names": [], "target_file": "a.txt", "search_criteria": "   "},
+        "unknown": {"model_names": ["screen", "big-model"], "target_file": "a.pdf", "search_criteria": "x"},
+        "htm": {"model_names": ["screen"], "target_file": "page.htm", "search_criteria": "x"},
+    }
+    for name, cfg in cfgs.items():
+        json.dump(cfg, open(os.path.join(d, f"{name}.json"), "w"), indent=2)
+    jobs = J.read_jobs(spark, d)
+    got = {r.job_id: (r.valid, r.problems) for r in
+           J.validate_jobs(jobs, ["screen", "lengthy", "verify"]).collect()}
+    assert got == {
+        "good": (True, ""),
+        "missing": (False, "missing: target_file"),
+        "blank": (False, "empty: model_names, search_criteria"),
+        "unknown": (False, "unknown models: big-model"),
+        "htm": (False, "unsupported type: .htm"),
+    }
