@@ -205,7 +205,7 @@ class CascadeRun:
 
     def _verdicts_schema(self, ks: str) -> str:
         return (f"{ks}, model_idx int, label string, confidence double, explanation string, "
-                f"status string, attempt int")
+                f"status string, attempt int, finished_at timestamp")
 
     # -- steps ---------------------------------------------------------
     def freeze_passages(self, passages: DataFrame, text_col: str = "text") -> DataFrame:
@@ -287,7 +287,9 @@ class CascadeRun:
             .select(*self.keys, F.lit(k).alias("model_idx"), F.lit(V.NEGATIVE).alias("label"),
                     F.lit(V.CONF_ERROR).alias("confidence"), F.lit("").alias("explanation"),
                     F.lit("error").alias("status"), "attempt")
-        clear.unionByName(vote).unionByName(failed).write.mode("append").parquet(v_path)
+        clear.unionByName(vote).unionByName(failed) \
+            .withColumn("finished_at", F.current_timestamp()) \
+            .write.mode("append").parquet(v_path)
 
     def run(self, passages: DataFrame, text_col: str = "text") -> DataFrame:
         """Judge every passage not judged yet; return the results table."""
@@ -316,6 +318,17 @@ class CascadeRun:
         return assemble_results(self.verdicts(), self.keys, self.n) \
             .withColumn("run_id", F.lit(self.run_id))
 
+    def progress(self, doc_col: str = "doc_id") -> DataFrame:
+        """A3 + A4 per document: passages, finished, remaining, and the
+        passage to resume from (highest finished + 1)."""
+        from . import reports as K
+        passages = self.spark.read.parquet(f"{self.base}/passages")
+        done = self.results().select(*self.keys)
+        left = passages.join(done, self.keys, "left_anti")
+        return K.remaining(passages, left, [doc_col]) \
+            .join(K.resume_state(done, [doc_col], self.keys[-1]), [doc_col], "left") \
+            .fillna(0, ["completed"])
+
 
 def assemble_results(verdicts: DataFrame, keys: Sequence[str], n_models: int) -> DataFrame:
     """The terminal verdict of each passage (a rejection, an error, or the
@@ -334,4 +347,5 @@ def assemble_results(verdicts: DataFrame, keys: Sequence[str], n_models: int) ->
         trail("model_idx", "label", "status", n_models).alias("cascade_info"),
         F.when(F.col("status") == "error", F.lit("error"))
         .when(accepted, F.lit("accepted")).otherwise(F.lit("rejected")).alias("status"),
-        F.col("confidence").alias("model_confidence"))
+        F.col("confidence").alias("model_confidence"),
+        *([F.col("finished_at")] if "finished_at" in verdicts.columns else []))

@@ -57,7 +57,7 @@ def test_resume_after_partial_run(spark, scratch):
     run = C.CascadeRun(spark, scratch, 3, judges, criterion="x")
     frozen = run.freeze_passages(passages)
     # a session that judged only the first stage for some passages, then stopped
-    half = frozen.where(F.col("doc_id") < 40)
+    half = frozen.where(F.col("doc_id") < 10)
     run._stage(0, half)
     n_half = spark.read.parquet(f"{run.base}/answers").count()
     assert n_half > 0
@@ -85,3 +85,20 @@ def test_failing_judge_becomes_error_negative(spark, scratch):
     assert all(r.cascade_info == "Model 1: 0 → error" for r in err)
     ok = res.where("status = 'accepted'").collect()
     assert ok and all(r.cascade_info == "Model 1: 1 | → All 1 approved" for r in ok)
+
+
+def test_progress_and_recent_of_a_run(spark, scratch):
+    from quarry.operators.reports import recent
+    passages = Q.conversation_stanzas(spark, SF001)
+    judges = [C.Judge("screen", call=_as_python(SCREEN))]
+    run = C.CascadeRun(spark, scratch, 2, judges, criterion="x")
+    run.freeze_passages(passages)
+    run._stage(0, run.spark.read.parquet(f"{run.base}/passages").where(F.col("doc_id") < 4))
+    prog = {r.doc_id: r for r in run.progress().collect()}
+    total = passages.count()
+    assert sum(r.total for r in prog.values()) == total
+    done = sum(r.completed for r in prog.values())
+    assert 0 < done < total
+    assert all(r.remaining == r.total - r.completed for r in prog.values())
+    last = recent(run.results(), ["finished_at", "doc_id", "passage_no"]).collect()
+    assert len(last) == 8
