@@ -24,9 +24,6 @@ WS = (r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
             + "".join(chr(c) for c in range(0x2000, 0x200B))
             + "\u2028\u2029\u202f\u205f\u3000")
-# Whitespace other than the plain space (a lone space needs no rewrite).
-WS_NOT_SPACE = WS.replace(" ", "")
-
 # The line boundaries of Python's str.splitlines().
 #   \r\n, \n, \r, \x0b, \x0c, \x1c, \x1d, \x1e, \x85, U+2028, U+2029
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -34,8 +31,6 @@ LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
 # Python's \d on str patterns: Unicode decimal digits.
 DIGITS_ONLY = r"^\p{Nd}+$"
 
-STRIP_RE = f"^{WS}+|{WS}+\\z"
-
 
 def as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

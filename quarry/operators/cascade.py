@@ -26,9 +26,6 @@ from pyspark.sql.utils import AnalysisException
 from . import verdicts as V
 from .prompts import SAMPLE_OPTIONS, TRY_OPTIONS, build_prompt
 
-STAGE_STATUS = ("clear", "vote", "error")
-
-
 @dataclass(frozen=True)
 class Judge:
     """One model of the cascade.
@@ -241,12 +238,14 @@ class CascadeRun:
         a_path, v_path = f"{self.base}/answers", f"{self.base}/verdicts"
         answers = lambda: _read(self.spark, a_path, self._answers_schema(ks)) \
             .where(F.col("model_idx") == k)
-        verdict_of = V.parse_verdict("raw", final)
+        def parsed(df: DataFrame) -> DataFrame:
+            return V.with_verdict(df, "raw", final, "v")
 
         # tries 1..3, each only for passages with no clear answer and no error yet
         for attempt in range(1, V.MAX_ATTEMPTS + 1):
             tries = answers().where(F.col("kind") == "try")
-            settled = tries.where(F.col("error").isNotNull() | verdict_of["clear"]).select(*self.keys)
+            settled = parsed(tries).where(F.col("error").isNotNull() | F.col("v.clear")) \
+                .select(*self.keys)
             asked = tries.where(F.col("attempt") == attempt).select(*self.keys)
             need = todo.join(settled, self.keys, "left_anti").join(asked, self.keys, "left_anti")
             self._ask(need.select(*self.keys, F.lit(attempt).alias("attempt"),
@@ -257,8 +256,7 @@ class CascadeRun:
             .join(todo.select(*self.keys), self.keys, "left_semi")
         errors = tries.where(F.col("error").isNotNull()).groupBy(*self.keys) \
             .agg(F.min("attempt").alias("attempt"))
-        resolved = V.resolve_attempts(
-            tries.where(F.col("error").isNull()).withColumn("v", verdict_of), self.keys)
+        resolved = V.resolve_attempts(parsed(tries.where(F.col("error").isNull())), self.keys)
         resolved = resolved.join(errors.select(*self.keys), self.keys, "left_anti")
 
         # vote: 5 samples for each label, only for passages still unresolved

@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import (WS, as_col, clean_piece, collapse_each, collapse_ws,  # noqa: F401
-                              digits_only,
+from ..functions.text import (WS, as_col, clean_piece, collapse_each, digits_only,
                               is_blank, is_upper, py_strip, split_keep)
 from .sequence import number_within, running_total
 

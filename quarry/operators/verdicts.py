@@ -32,9 +32,6 @@ VOTE_SAMPLES = 5
 JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true",
                 "allowUnquotedControlChars": "false", "mode": "PERMISSIVE"}
 
-VERDICT_TYPE = "struct<clear:boolean,label:string,confidence:double,explanation:string>"
-
-
 def final_answer(raw) -> Column:
     """M2: the text after the last ``</think>`` (stripped); an opened but
     unclosed ``<think>`` means the answer was cut off (null = unclear)."""
@@ -71,25 +68,6 @@ def json_last(entries: Column, key: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
-def parse_json_verdict(answer) -> Column:
-    """M3 (final model): slice from the first '{' to the last '}', parse it
-    strictly; null when there is no slice or it is not exactly one object."""
-    a = as_col(answer)
-    sliced = F.regexp_extract(a, r"(?s)\{.*\}", 0)
-    parsed = F.from_json(F.concat(F.lit("["), sliced, F.lit("]")),
-                         "array<map<string,string>>", JSON_OPTIONS)
-    ok = (F.length(sliced) > 0) & parsed.isNotNull() & (F.size(parsed) == 1) \
-        & F.element_at(parsed, 1).isNotNull()
-    entries = F.map_entries(F.element_at(parsed, 1))
-    verdict = F.coalesce(json_last(entries, "verdict"), F.lit(NEGATIVE))
-    excerpt = F.coalesce(json_last(entries, "excerpt"), F.lit(""))
-    explanation = F.coalesce(json_last(entries, "explanation"), F.lit(""))
-    combined = py_strip(F.concat(excerpt, F.lit(EXPLANATION_JOIN), explanation))
-    return F.when(~ok, F.lit(None).cast(VERDICT_TYPE)) \
-        .when(verdict == POSITIVE, _verdict(True, POSITIVE, CONF_EXACT, combined)) \
-        .otherwise(_verdict(True, NEGATIVE, CONF_EXACT, ""))
-
-
 def parse_text_verdict(answer) -> Column:
     """M4: the plain-text rules, in order; unclear when none applies."""
     a = as_col(answer)
@@ -104,15 +82,6 @@ def parse_text_verdict(answer) -> Column:
         .otherwise(_unclear())
 
 
-def parse_verdict(raw, final) -> Column:
-    """M2-M4 for one try: ``final`` (bool Column or literal) selects the JSON
-    form first; returns ``struct<clear, label, confidence, explanation>``."""
-    ans = final_answer(raw)
-    final = final if isinstance(final, Column) else F.lit(bool(final))
-    js = parse_json_verdict(ans)
-    return F.when(final & js.isNotNull(), js).otherwise(parse_text_verdict(ans))
-
-
 def with_verdict(df: DataFrame, raw: str, final, out: str) -> DataFrame:
     """M2-M4 as a chain of projections: each costly step (strip, slice,
     strict parse) is its own column, computed once per row; Catalyst keeps the
