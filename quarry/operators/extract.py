@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import html as H
 from . import passages as P
+from .packing import pack_passage_rows
 
 SUPPORTED = {".html": "paragraphs", ".txt": "stanzas", ".pdf": "chunks"}
 
@@ -32,10 +33,8 @@ def extract_passages(documents: DataFrame, page_text: DataFrame | None = None
         pages = page_text.join(pdf_ids, "doc_id", "left_semi")
         paras = P.reflow_pages(pages).withColumn("text", P.clean_piece("text")) \
             .where(F.length("text") > P.PARAGRAPH_MIN_CHARS)
-        per_doc = paras.groupBy("doc_id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("para_no", "text"))), lambda s: s["text"]).alias("ps"))
-        chunks = per_doc.select("doc_id", P.pack_chunks("ps").alias("ps"))
-        parts.append(P.number_passages(chunks, "ps", ["doc_id"]).withColumn("content_type", F.lit("chunks")))
+        chunks = pack_passage_rows(paras, "para_no")
+        parts.append(chunks.withColumn("content_type", F.lit("chunks")))
     passages = parts[0]
     for p in parts[1:]:
         passages = passages.unionByName(p)

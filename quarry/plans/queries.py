@@ -17,6 +17,7 @@ from ..operators import jobs as J
 from ..operators import progress as R
 from ..operators.prompts import build_prompt
 from ..operators import passages as P
+from ..operators.packing import pack_passage_rows
 from ..operators import reports as K
 from ..operators import verdicts as V
 from ..session import materialize
@@ -128,16 +129,12 @@ def reflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3 + T7 + T10: the whole page-text path to numbered chunks."""
+    """S3 + T7 + T10: the whole page-text path to numbered chunks; packing
+    runs on passage rows in bounded blocks (no document is gathered)."""
     paras = P.reflow_pages(page_text(spark, sf_dir)) \
         .withColumn("text", P.clean_piece("text")) \
         .where(F.length("text") > P.PARAGRAPH_MIN_CHARS)
-    per_doc = paras.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("para_no", "text"))),
-                    lambda s: s["text"]).alias("ps"))
-    chunks = per_doc.select("doc_id", P.pack_chunks("ps").alias("chunks"))
-    return P.number_passages(chunks, "chunks", ["doc_id"]) \
-        .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
+    return pack_passage_rows(paras, "para_no")
 
 
 def extract_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
