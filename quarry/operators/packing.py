@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .passages import CHUNK_MIN_CHARS, CHUNK_SEPARATOR_CHARS
 from ..session import materialize
-from .sequence import number_within
 
 DEFAULT_BLOCK = 65536
 
@@ -142,10 +141,12 @@ def pack_passage_rows(passages: DataFrame, order_col: str = "passage_no", text_c
                       min_chars: int = CHUNK_MIN_CHARS, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``(doc_id, <order>, text)`` rows -> ``(doc_id, passage_no, text)``
     chunks, numbered from 0 per document."""
-    d = number_within(passages.select("doc_id", order_col, text_col), ["doc_id"], order_col, "pos")
-    d = d.select("doc_id", "pos", F.col(text_col).alias("text"),
-                 (F.length(text_col) + CHUNK_SEPARATOR_CHARS).cast("long").alias("w"),
-                 F.floor(F.col("pos") / block).cast("long").alias("blk"))
+    # blocks need order, not dense positions: a block of ``block`` consecutive
+    # order values holds at most ``block`` rows (order values are distinct)
+    d = passages.select("doc_id", F.col(order_col).cast("long").alias("pos"),
+                        F.col(text_col).alias("text"),
+                        (F.length(text_col) + CHUNK_SEPARATOR_CHARS).cast("long").alias("w"),
+                        F.floor(F.col(order_col) / block).cast("long").alias("blk"))
     # read three times below (block summaries, chunk numbers, chunk text):
     # computed once and kept in the shared folder, not re-derived each time
     d = materialize(d)
