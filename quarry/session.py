@@ -76,9 +76,14 @@ def ensure_work_dir_for_local(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared
-    folder. Reports over cascade results read such a copy: it keeps the
-    optimizer from inlining the judge expressions into every later filter or
-    join, and a lost executor does not re-run the judges."""
-    ensure_work_dir_for_local(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of ``df``: write it as a parquet table in the shared
+    folder (``spark.checkpoint.dir``) and read it back. Reports over cascade
+    results read such a copy: it keeps the optimizer from inlining the judge
+    expressions into every later filter or join, and a lost executor re-reads
+    the table instead of re-running the work before it."""
+    import uuid
+    spark = df.sparkSession
+    base = ensure_work_dir_for_local(spark)
+    path = f"{base}/materialized/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
