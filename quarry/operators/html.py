@@ -41,24 +41,28 @@ def tokens(html) -> Column:
     """``array<struct<i, tok, kind, tag, closing>>``: kind is 'text', 'tag'
     (non-void, not self-closed), 'p_self' (``<p/>``) or 'skip'."""
     toks = F.regexp_extract_all(as_col(html), F.lit(TOKEN_RE), 0)
-
-    def classify(tok, i):
+    # first pass: the tag name once per token (a lambda body is interpreted,
+    # so a name used three times would be extracted three times)
+    named = F.transform(toks, lambda tok, i: F.struct(
+        i.alias("i"), tok.alias("tok"),
+        F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1)).alias("name")))
+
+    def classify(t):
+        tok, name = t["tok"], t["name"]
         is_markup = tok.startswith("<") & (tok != "<")
         special = tok.rlike(r"^(?i)<(script|style)\b|^<!")
-        name = F.lower(F.regexp_extract(tok, TAG_NAME_RE, 1))
         closing = tok.startswith("</")
         self_closed = ~closing & tok.endswith("/>")
-        void = name.isin(*VOID_ELEMENTS)
         kind = F.when(~is_markup, F.lit("text")) \
             .when(special, F.lit("skip")) \
-            .when(void, F.lit("skip")) \
+            .when(name.isin(*VOID_ELEMENTS), F.lit("skip")) \
             .when(self_closed & (name == "p"), F.lit("p_self")) \
             .when(self_closed, F.lit("skip")) \
             .otherwise(F.lit("tag"))
-        return F.struct(i.alias("i"), tok.alias("tok"), kind.alias("kind"),
+        return F.struct(t["i"].alias("i"), tok.alias("tok"), kind.alias("kind"),
                         name.alias("tag"), closing.alias("closing"))
 
-    return F.transform(toks, classify)
+    return F.transform(named, classify)
 
 
 def p_spans(toks: Column) -> Column:
