@@ -5,14 +5,15 @@ Packing closes a chunk at the first passage that brings the running count
 thing that crosses from one stretch of passages to the next is the count of
 the open chunk, so a document is cut into blocks of ``block`` passages:
 
-1. per block (at most ``block`` rows; many blocks per Python call): a reverse dynamic
-   programme gives, for every passage where the block's *first* chunk could
+1. per block (at most ``block`` rows; many blocks per Python call): a
+   reverse dynamic programme gives, for every passage where the block's *first* chunk could
    close, the count left open at the block's end and the chunks closed after
    it. The first close is never later than where a fresh chunk would close
    (at most ``ceil(min_chars / 33)`` paragraphs longer than 30 characters),
    so the summary is small;
-2. per document (over block summaries, ``1/block`` of the rows): a scan over blocks in order fixes each block's entry count and its
-   first chunk number;
+2. per document (over block summaries, ``1/block`` of the rows): a scan
+   over blocks in order fixes each block's entry count and its first chunk
+   number;
 3. per block again: chunk numbers for each passage; then each chunk (at most
    ``ceil(min_chars / 33)`` paragraphs) is joined by a grouped aggregate.
 
