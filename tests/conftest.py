@@ -23,8 +23,6 @@ def spark():
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    from quarry.session import ensure_work_dir_for_local
-    ensure_work_dir_for_local(s)
     yield s
     s.stop()
 
