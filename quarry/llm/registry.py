@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from . import jaccard_join, licenses, mixing
 from .bpe_codec import encode_decode
 from .token_counts import token_counts
 from .token_files import read_checksums, write_token_files
+from .url_filter import url_verdicts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -24,20 +26,44 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(index)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES = {
     "op3_token_files": op3_token_files,
+    "op4_license_scan": op4_license_scan,
+    "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_license_scan": licenses.oracle(),
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
