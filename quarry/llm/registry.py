@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import jaccard_join, licenses, mixing
+from . import jaccard_join, licenses, mixing, near_vectors, top_k
 from .bpe_codec import encode_decode
 from .token_counts import token_counts
 from .token_files import read_checksums, write_token_files
@@ -21,6 +21,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return read_checksums(index)
@@ -53,6 +61,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
+    "op2_near_vectors": op2_near_vectors,
     "op3_token_files": op3_token_files,
     "op4_license_scan": op4_license_scan,
     "op6_url_filter": op6_url_filter,
@@ -63,6 +73,8 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": top_k.ORACLE,
+    "op2_near_vectors": near_vectors.ORACLE,
     "op4_license_scan": licenses.oracle(),
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_mixing": mixing.ORACLE,
