@@ -1,14 +1,73 @@
-"""The corpus pipeline: quality classifier, n-gram Jaccard join, mixing, BPE.
+"""The corpus pipeline over ``documents``: quality classifier, n-gram Jaccard
+join, mixing sources to target weights, BPE encoding and decoding.
 
-Stages are filled in as their operators are built.
+Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept;
+its result is written as Parquet and read again as the next one's docs. All but
+the last return the columns of ``documents``:
+
+* ``quality``: documents the factorisation machine rejects go. It learns from
+  ``labels`` as operator 5 does.
+* ``near-duplicates``: of every component of linked documents the one with the
+  smallest id stays; documents without words link with nothing and stay.
+* ``mix``: a document comes as many times as the mix takes its words, rounded
+  (0 to 3 copies; the one document cut by the budget is kept or dropped whole).
+  Rows that share an id share their number of copies.
+* ``bpe``: (doc_id, n_tokens, ids, decoded_sha256), ids as
+  little-endian unsigned 32-bit integers.
+
+Empty tables and null ids, texts and sources pass as the operators define.
 """
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm.bpe_codec import encode_decode
+from quarry.llm.jaccard_join import jaccard_components
+from quarry.llm.mixing import mix
+from quarry.llm.quality import accepted
+from quarry.session import materialize, ship_package
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    found = jaccard_components(docs)
+    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti") \
+        .select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    taken = mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(
+        F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
+    copies = F.round(F.col("taken_") / F.col("size_")).cast("int")
+    taken = taken.where("size_ > 0").select("id_", copies.alias("copies_")).where("copies_ > 0")
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["id_"])) \
+        .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(docs.columns)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return encode_decode(docs, public_tokenizers.path(TOKENIZER)).select(
+        "doc_id", "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near-duplicates", near_duplicates), ("mix", mixed), ("bpe", bpe)]
+
+#: A learned model decides the first stage; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

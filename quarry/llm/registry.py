@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from . import jaccard_join, licenses, mixing, near_vectors, top_k
 from .bpe_codec import encode_decode
+from .quality import quality_scores
 from .token_counts import token_counts
 from .token_files import read_checksums, write_token_files
 from .url_filter import url_verdicts
@@ -38,6 +39,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(_table(spark, sf_dir, "pages"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op2_near_vectors": op2_near_vectors,
     "op3_token_files": op3_token_files,
     "op4_license_scan": op4_license_scan,
+    "op5_quality": op5_quality,
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
