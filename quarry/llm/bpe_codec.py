@@ -3,8 +3,9 @@
 1. Word counts over the whole corpus: tasks split texts into the tokenizer's
    words and count them per slice; Spark adds the counts up (partial sums
    before the shuffle).
-2. The ``lexicon_words`` most frequent words (ties: by bytes) reach the driver,
-   a bound that does not grow with the corpus, and are compiled with their ids
+2. The most frequent words, as many whole frequency steps as fit into
+   ``lexicon_words``, reach the driver (a bound that does not grow with the
+   corpus; words met once are left out) and are compiled with their ids
    into a minimal acyclic transducer. Its file (a few MB) goes to every executor
    as a Spark file and is memory-mapped by the workers.
 3. Every text is encoded: known words by the transducer, all others by exact
@@ -30,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import driver_folder
+from ..session import driver_folder, materialize
 from .bpe import Encoder, WordSplitter, byte_letters, check_supported, ragged, slices
 from .lexicon import Transducer, compile_words, write_transducer
 from .merges import MergeWords
@@ -75,7 +76,16 @@ def word_counts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compiles the most frequent words and hands the file to the executors;
     returns the name by which they find it."""
-    top = word_counts(docs, path, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    # counts in steps of an eighth of a doubling: at most a few hundred rows tell where to cut
+    counted = materialize(word_counts(docs, path, text_col).where("n > 1")
+                          .withColumn("step", F.floor(8 * F.log2("n")).cast("int")), "word-counts")
+    cut, total = None, 0
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+        total += r["count"]
+        if total > words:
+            break
+        cut = r["step"]
+    top = counted.where(F.col("step") >= cut).select("word").collect() if cut is not None else []
     frequent = sorted(bytes(r[0]) for r in top)
     flat, counts = _merges(path).resolve(pa.array(frequent, pa.binary()))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
