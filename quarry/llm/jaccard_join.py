@@ -1,7 +1,7 @@
 """Operator 8: exact n-gram Jaccard join by PartEnum signatures.
 
 1. Every text becomes its set of 64-bit shingle hashes; only (set hash, size,
-   256 parities) leave the task. Equal sets form one class, so a group of copies
+   a sketch of parities) leave the task. Equal sets form one class, so a group of copies
    costs one member whatever its size (partial sums before the shuffle).
 2. One text per class gives PartEnum signatures (see ``shingles.signatures``):
    any two sets with Jaccard >= 3/4 share one. Signatures are dealt and sorted;
@@ -39,6 +39,7 @@ from .components import components
 
 WIDTH = 5
 BLOCK = 4096
+CHUNK_ROWS = 16_384
 
 
 def _sets(width: int):
@@ -51,7 +52,7 @@ def _sets(width: int):
                 sketch = S.parity_sketches(flat, sizes)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("doc_id").slice(lo, len(texts)), pa.array(sizes, pa.int64()), pa.array(c.view(np.int64)),
-                     pa.array(c2.view(np.int64)), pa.array([x.tobytes() for x in sketch], pa.binary())],
+                     pa.array(c2.view(np.int64)), pa.array(sketch, pa.binary())],
                     ["doc_id", "n_shingles", "c", "c2", "sketch"])
     return run
 
@@ -124,56 +125,63 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["sig", "c", "hub"])
 
 
-def _bounded(n_a: np.ndarray, n_b: np.ndarray, s_a: np.ndarray, s_b: np.ndarray) -> np.ndarray:
-    """Pairs that size and parity allow to link: 7 * difference <= sum."""
-    ok = 7 * np.abs(n_a - n_b) <= n_a + n_b
-    differ = np.bitwise_count(s_a[ok] ^ s_b[ok]).sum(axis=1, dtype=np.int64)
-    ok[ok] = 7 * differ <= (n_a + n_b)[ok]
-    return ok
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that size and parity allow to link: 7 * difference <= sum."""
+    for b in batches:
+        sketches = S.Sketches(b.column("sketch_a").to_pylist() + b.column("sketch_b").to_pylist())
+        n_a, n_b = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
+        ok = np.flatnonzero(7 * np.abs(n_a - n_b) <= n_a + n_b)
+        ok = ok[7 * sketches.differ(ok, ok + b.num_rows) <= (n_a + n_b)[ok]]
+        ok = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([b.column("a").take(ok), b.column("b").take(ok)], ["a", "b"])
+
+
+def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Pairs of one group, of different labels (and sides, across blocks), that
+    pass the bounds. Rows are sorted by group and size, so row i meets i + 1,
+    i + 2, ... until the group ends or sizes differ too much."""
+    key = np.stack([t.column(k).to_numpy() for k in ("sig", "x", "y")])
+    n, c, label, side = (t.column(k).to_numpy() for k in ("n", "c", "label", "side"))
+    across = key[1] != key[2]
+    group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(axis=0))])
+    sketches = S.Sketches(t.column("sketch").to_pylist())
+    i, step = np.arange(len(n)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(n)]
+        j = i + step
+        i = i[(group[i] == group[j]) & (7 * (n[j] - n[i]) <= n[i] + n[j])]
+        j = i + step
+        wanted = (label[i] != label[j]) & (~across[i] | (side[i] != side[j]))
+        a, b = i[wanted], j[wanted]
+        ok = 7 * sketches.differ(a, b) <= n[a] + n[b]
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[a[ok]]), pa.array(c[b[ok]])], ["a", "b"])
 
 
 def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, x, y, side, c, label, n, sketch), sorted by (sig, x, y), to
-    pairs of different labels that pass the bounds."""
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(rows)
-        col = {k: t.column(k).to_numpy() for k in ("c", "label", "n", "side")}
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(-1, 4)
-        same = t.column("x")[0] == t.column("y")[0]
-        order = np.lexsort((col["n"], col["side"]))
-        col = {k: v[order] for k, v in col.items()}
-        sketch = sketch[order]
-        n = col["n"]
-        split = int((col["side"] == 0).sum())
-        lo, hi = (0, split) if same else (split, len(n))
-        for i in range(split):
-            # sizes ascend: only those from n to 4/3 n and, across blocks, from 3/4 n
-            a = (i + 1) if same else lo + int(np.searchsorted(n[lo:hi], 3 * n[i] / 4 - 1e-9))
-            z = lo + int(np.searchsorted(n[lo:hi], 4 * n[i] / 3 + 1e-9, "right"))
-            if z <= a:
-                continue
-            j = np.arange(a, z)
-            j = j[(col["label"][a:z] != col["label"][i])]
-            if len(j):
-                j = j[_bounded(np.full(len(j), n[i]), n[j], np.broadcast_to(sketch[i], (len(j), 4)), sketch[j])]
-            if len(j):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), col["c"][i])), pa.array(col["c"][j])], ["a", "b"])
-
-    open_key, rows = None, []
+    """Rows (sig, x, y, side, c, label, n, sketch), sorted by (sig, x, y, n), to
+    their pairs; groups (of two blocks at most) are worked on some at a time."""
+    rows, size, end = [], 0, None
     for b in batches:
         if not b.num_rows:
             continue
         key = np.stack([b.column(k).to_numpy() for k in ("sig", "x", "y")])
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
-            k = tuple(key[:, lo].tolist())
-            if k != open_key and rows:
-                yield from pairs(rows)
-                rows = []
-            open_key = k
-            rows.append(b.slice(lo, hi - lo))
-    if rows:
-        yield from pairs(rows)
+        starts = [0, *cuts.tolist()]
+        if end is not None and tuple(key[:, 0].tolist()) == end:
+            starts = starts[1:]
+        lo = 0
+        for s in starts:
+            if size + s - lo >= CHUNK_ROWS:
+                rows.append(b.slice(lo, s - lo))
+                yield from _pairs_of(pa.Table.from_batches(rows))
+                rows, size, lo = [], 0, s
+        rows.append(b.slice(lo))
+        size += b.num_rows - lo
+        end = tuple(key[:, -1].tolist())
+    if size:
+        yield from _pairs_of(pa.Table.from_batches(rows))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,15 +210,10 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -
 
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Native form of the size and parity bounds for pairs (a, b)."""
+    """Those of the pairs (a, b) that pass the bounds."""
     side = lambda k: classes.select(F.col("c").alias(k), F.col("n_shingles").alias(f"n_{k}"),
-                                    *[F.conv(F.hex(F.substring("sketch", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"s{i}_{k}")
-                                      for i in range(4)])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    total = F.col("n_a") + F.col("n_b")
-    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, 4)),
-                 F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    return both.where((7 * F.abs(F.col("n_a") - F.col("n_b")) <= total) & (7 * differ <= total)).select("a", "b")
+                                    F.col("sketch").alias(f"sketch_{k}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -248,7 +251,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .join(classes.select("c", F.col("n_shingles").alias("n"), "sketch"), "c") \
         .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                 F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "c", "label", "n", "sketch")
-    more = members.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y") \
+    more = members.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "n") \
         .mapInArrow(_within_blocks, "a long, b long") \
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() \
         .join(hubs, ["a", "b"], "left_anti")

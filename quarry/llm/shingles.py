@@ -98,13 +98,50 @@ def set_hashes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def parity_sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """256 parities per set: bit b tells whether an odd number of elements
-    falls on b. Two sets differ in at least as many elements as bits."""
-    n = len(sizes)
-    cell = np.repeat(np.arange(n), sizes) * 256 + (flat & _U(255)).astype(np.int64)
-    odd = (np.bincount(cell, minlength=n * 256) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, 256), axis=1)
+def sketch_bits(sizes: np.ndarray) -> np.ndarray:
+    """Bits of a set's sketch: a power of two, its size or more, at least 256."""
+    return np.maximum(256, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+
+
+def parity_sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parities per set: bit b tells whether an odd number of elements falls on
+    b, so two sets differ in at least as many elements as bits. Halves of a
+    sketch XORed give the sketch of half the bits."""
+    bits = sketch_bits(sizes)
+    end = np.cumsum(bits)
+    cell = np.repeat(end - bits, sizes) + (flat & (np.repeat(bits, sizes).astype(np.uint64) - _U(1))).astype(np.int64)
+    odd = (np.bincount(cell, minlength=int(end[-1]) if len(end) else 0) & 1).astype(np.uint8)
+    packed = np.packbits(odd).tobytes()
+    return [packed[(e - k) // 8:e // 8] for e, k in zip(end.tolist(), bits.tolist())]
+
+
+class Sketches:
+    """Sketches of different lengths, compared by pairs of rows."""
+
+    def __init__(self, sketches: list[bytes]):
+        size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+        self.level = np.log2(np.maximum(size, 32) // 32).astype(np.int64)
+        self.at = np.zeros(len(size), np.int64)
+        self.full, self.half = {}, {}
+        for k in np.unique(self.level).tolist():
+            rows = np.flatnonzero(self.level == k)
+            self.at[rows] = np.arange(len(rows))
+            m = np.frombuffer(b"".join(sketches[r] for r in rows), np.uint64).reshape(len(rows), -1)
+            self.full[k], self.half[k] = m, m[:, :m.shape[1] // 2] ^ m[:, m.shape[1] // 2:]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits by which rows i and j differ, a lower bound of their sets'
+        difference; rows of sizes within 3/4 have levels one apart at most."""
+        out = np.zeros(len(i), np.int64)
+        li, lj = self.level[i], self.level[j]
+        for k in self.full:
+            for other in (k - 1, k, k + 1):
+                p = np.flatnonzero((li == k) & (lj == other))
+                if len(p):
+                    a = (self.half if other < k else self.full)[k][self.at[i[p]]]
+                    b = (self.half if other > k else self.full)[other][self.at[j[p]]]
+                    out[p] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def signatures(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
