@@ -39,7 +39,9 @@ from .components import components
 
 WIDTH = 5
 BLOCK = 4096
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 16_384      # rows of groups compared at once
+UNIT_ROWS = 1_000_000   # rows of one unit of work
+UNIT_PAIRS = 200_000    # pairs held back for repeats at the end of a unit
 
 
 def _sets(width: int):
@@ -159,29 +161,53 @@ def _pairs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c[a[ok]]), pa.array(c[b[ok]])], ["a", "b"])
 
 
+def _distinct(pairs: list[pa.RecordBatch]) -> pa.RecordBatch:
+    a, b = (np.concatenate([p.column(i).to_numpy() for p in pairs]) for i in (0, 1))
+    a, b = np.maximum(a, b), np.minimum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+
 def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, x, y, side, c, label, n, sketch), sorted by (sig, x, y, n), to
-    their pairs; groups (of two blocks at most) are worked on some at a time."""
-    rows, size, end = [], 0, None
+    """Rows (low, part, sig, x, y, side, c, label, n, sketch), sorted by the
+    first five and n, to their pairs. Groups (of two blocks at most) are worked
+    on some at a time; near texts meet in many groups, so a unit (low, part)
+    gives each of its pairs once."""
+    rows, size, found, last = [], 0, [], None
+
+    def work() -> None:
+        nonlocal rows, size
+        if size:
+            found.extend(_pairs_of(pa.Table.from_batches(rows)))
+            if len(found) > 1:
+                found[:] = [_distinct(found)]
+        rows, size = [], 0
+
     for b in batches:
         if not b.num_rows:
             continue
-        key = np.stack([b.column(k).to_numpy() for k in ("sig", "x", "y")])
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        starts = [0, *cuts.tolist()]
-        if end is not None and tuple(key[:, 0].tolist()) == end:
-            starts = starts[1:]
+        key = np.stack([b.column(k).to_numpy() for k in ("low", "part", "sig", "x", "y")])
+        starts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if last is not None and (key[:, 0] != last).any():
+            starts = np.concatenate([[0], starts])
         lo = 0
-        for s in starts:
-            if size + s - lo >= CHUNK_ROWS:
-                rows.append(b.slice(lo, s - lo))
-                yield from _pairs_of(pa.Table.from_batches(rows))
-                rows, size, lo = [], 0, s
+        while (at := int(np.searchsorted(starts, lo + CHUNK_ROWS - size))) < len(starts):
+            s = int(starts[at])
+            rows.append(b.slice(lo, s - lo))
+            size += s - lo
+            work()
+            before = key[:2, s - 1] if s else last[:2]
+            if found and found[0].num_rows > UNIT_PAIRS and (key[:2, s] != before).any():
+                yield found.pop()
+            lo = s
         rows.append(b.slice(lo))
         size += b.num_rows - lo
-        end = tuple(key[:, -1].tolist())
-    if size:
-        yield from _pairs_of(pa.Table.from_batches(rows))
+        last = key[:, -1]
+    work()
+    yield from found
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,17 +270,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("sig", "c", F.coalesce("root", "c").alias("label"))
     groups = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                          F.count(F.lit(1)).alias("size")).where("low != high")
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    members = labelled.join(groups, "sig").withColumn("k", blocks) \
+    # groups of one family share their lowest label: dealt together, in parts of bounded size
+    families = groups.groupBy("low").agg(F.ceil(F.sum("size") / UNIT_ROWS).cast("long").alias("parts"))
+    members = labelled.join(groups.join(families, "low"), "sig") \
+        .withColumns({"k": F.ceil(F.col("size") / block).cast("long"), "part": F.pmod(F.xxhash64("sig"), F.col("parts"))}) \
         .withColumn("own", F.pmod(F.xxhash64("c"), F.col("k"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))) \
         .join(classes.select("c", F.col("n_shingles").alias("n"), "sketch"), "c") \
-        .select("sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+        .select("low", "part", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                 F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "c", "label", "n", "sketch")
-    more = members.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "n") \
-        .mapInArrow(_within_blocks, "a long, b long") \
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct() \
-        .join(hubs, ["a", "b"], "left_anti")
+    more = members.repartition("low", "part", "x", "y") \
+        .sortWithinPartitions("low", "part", "sig", "x", "y", "n").mapInArrow(_within_blocks, "a long, b long") \
+        .distinct().join(hubs, ["a", "b"], "left_anti")
     links = links.union(_links(more, texts, classes, width))
     found = components(links)
 
