@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.files import is_missing
 from . import verdicts as V
 from .prompts import SAMPLE_OPTIONS, TRY_OPTIONS, build_prompt
 
@@ -140,36 +141,42 @@ def cascade_rules(passages: DataFrame, judges: Sequence[Judge], keys: Sequence[s
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_missing(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
+CALL_PROMPTS = 32
+
+
 def _caller(judge: Judge, keys: list[str], options: dict):
-    """The per-partition function for ``mapInPandas``: one call per Arrow
-    batch; if the batch fails, each prompt is retried alone so one bad
-    prompt fails only itself (M10)."""
+    """The per-partition function for ``mapInPandas``: one call per
+    ``CALL_PROMPTS`` prompts. A call that fails is halved until the bad prompt
+    stands alone (M10): at most 2 log2(CALL_PROMPTS) calls more for each."""
     call = judge.call
     opts = {**options, **judge.options}
 
+    def ask(prompts):
+        try:
+            raws = list(call(prompts, opts))
+            if len(raws) != len(prompts):
+                raise ValueError(f"judge returned {len(raws)} answers for {len(prompts)} prompts")
+            return [(None if r is None else str(r), None) for r in raws]
+        except Exception as e:  # noqa: BLE001 - recorded as an error verdict
+            if len(prompts) == 1:
+                return [(None, f"{type(e).__name__}: {e}")]
+        half = len(prompts) // 2
+        return ask(prompts[:half].reset_index(drop=True)) + ask(prompts[half:].reset_index(drop=True))
+
     def run(batches):
         for pdf in batches:
-            prompts = pdf["prompt"]
-            errors = [None] * len(pdf)
-            try:
-                raws = list(call(prompts, opts))
-                if len(raws) != len(pdf):
-                    raise ValueError(f"judge returned {len(raws)} answers for {len(pdf)} prompts")
-            except Exception:  # noqa: BLE001 - per-row retry isolates the failure
-                raws = []
-                for i, p in enumerate(prompts):
-                    try:
-                        raws.append(str(list(call(pd.Series([p]), opts))[0]))
-                    except Exception as e:  # noqa: BLE001 - recorded as an error verdict
-                        raws.append(None)
-                        errors[i] = f"{type(e).__name__}: {e}"[:1000]
+            got = []
+            for lo in range(0, len(pdf), CALL_PROMPTS):
+                got += ask(pdf["prompt"][lo:lo + CALL_PROMPTS].reset_index(drop=True))
             out = pdf.drop(columns=["prompt"]).copy()
-            out["raw"] = [None if r is None else str(r) for r in raws]
-            out["error"] = errors
+            out["raw"] = [r for r, _ in got]
+            out["error"] = [e for _, e in got]
             yield out
     return run
 

@@ -22,7 +22,7 @@ def extract_passages(documents: DataFrame, page_text: DataFrame | None = None
     """``documents(doc_id, format, content)`` (+ optional ``page_text(doc_id,
     page_no, text)`` for PDFs) -> ``(passages(doc_id, passage_no,
     content_type, text), rejects(doc_id, reason))``."""
-    fmt = F.col("format")
+    fmt = F.lower("format")
     html = H.with_html_text(documents.where(fmt == ".html").select("doc_id", "content"),
                             "content", "__t").select("doc_id", P.paragraphs("__t").alias("ps"))
     txt = documents.where(fmt == ".txt").select("doc_id", P.stanzas("content").alias("ps"))

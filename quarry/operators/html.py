@@ -29,7 +29,7 @@ P_MIN_CHARS = 20             # keep a <p> text longer than this
 FULLTEXT_PHRASE_SPLIT = "  " # the no-<p> fallback also splits lines on two spaces
 
 TOKEN_RE = (r"(?is)<script\b.*?</script\s*>|<script\b.*|<style\b.*?</style\s*>|<style\b.*"
-            r"|<!--.*?-->|<![^>]*>|</?[a-z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|[^<]+|<")
+            r"|<!--.*?-->|<![^>]*>|</?[a-z](?>\"[^\"]*\"|'[^']*'|[^'\">]++)*+>|[^<]+|<")
 TAG_NAME_RE = r"^</?([A-Za-z][^\s/>]*)"
 # joins text tokens: '<' cannot be part of a character reference, the
 # private-use mark makes the pair unique; removed after decoding

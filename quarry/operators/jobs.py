@@ -20,16 +20,25 @@ JOB_SCHEMA = "job_id string, model_names array<string>, target_file string, sear
 REQUIRED_FIELDS = ["model_names", "target_file", "search_criteria"]
 SUPPORTED_SUFFIXES = [".html", ".txt", ".pdf"]
 
-# A jobs table above this many rows is joined by shuffle, not broadcast.
-BROADCAST_MAX_ROWS = 100_000
-
 
 def read_jobs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON job configs (one object per file or per line) with a fixed
-    schema; a file without ``job_id`` gets its file name."""
-    df = spark.read.option("multiLine", True).schema(JOB_SCHEMA).json(path)
-    return df.withColumn("job_id", F.coalesce(
-        F.col("job_id"), F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.json)?$", 1)))
+    """JSON job configs with a fixed schema: one object or an array of
+    objects per file, or one object per line. A job without ``job_id`` gets its
+    file's name (numbered where the file holds several); text that is not JSON
+    is an error."""
+    files = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1).alias("file"), "value")
+    lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
+    by_line = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
+    strict = {"mode": "FAILFAST"}
+    one = lambda x: F.from_json(x, JOB_SCHEMA, strict)
+    many = F.from_json("value", f"array<struct<{JOB_SCHEMA.replace(' ', ':', 1).replace(', ', ',').replace(' ', ':')}>>", strict)
+    found = F.when(F.trim("value").startswith("["), many).when(by_line, F.transform(lines, one)) \
+        .otherwise(F.array(one(F.col("value"))))
+    jobs = files.withColumn("jobs", found)
+    name = F.when(F.size("jobs") > 1, F.concat_ws("-", "file", (F.col("pos") + 1).cast("string"))).otherwise(F.col("file"))
+    return jobs.select("file", "jobs", F.posexplode("jobs").alias("pos", "job")).select(
+        F.coalesce("job.job_id", name).alias("job_id"), "job.model_names", "job.target_file", "job.search_criteria")
 
 
 def validate_jobs(jobs: DataFrame, available_models: Sequence[str]) -> DataFrame:
@@ -62,8 +71,6 @@ def validate_jobs(jobs: DataFrame, available_models: Sequence[str]) -> DataFrame
 def attach_jobs(passages: DataFrame, jobs: DataFrame, passage_target: str,
                 job_target: str = "target_file") -> DataFrame:
     """Each passage with the job(s) aimed at its document, by equi-join on
-    the target. The jobs side is broadcast only after its row count is
-    checked against ``BROADCAST_MAX_ROWS``; otherwise both sides shuffle."""
-    n_jobs = jobs.limit(BROADCAST_MAX_ROWS + 1).count()
-    side = F.broadcast(jobs) if n_jobs <= BROADCAST_MAX_ROWS else jobs
-    return passages.join(side, passages[passage_target] == side[job_target], "inner")
+    the target; whether a side is small enough to broadcast is for the
+    optimizer to decide by its measured bytes."""
+    return passages.join(jobs, passages[passage_target] == jobs[job_target], "inner")

@@ -74,7 +74,7 @@ def parse_text_verdict(answer) -> Column:
     has1, has0 = a.contains(POSITIVE), a.contains(NEGATIVE)
     return F.when(a.isNull(), _unclear()) \
         .when(a.startswith(POSITIVE + ":"),
-              _verdict(True, POSITIVE, CONF_EXACT, py_strip(F.substring(a, 3, 1 << 30)))) \
+              _verdict(True, POSITIVE, CONF_EXACT, py_strip(a.substr(F.lit(3), F.length(a))))) \
         .when(a == POSITIVE, _verdict(True, POSITIVE, CONF_EXACT, MATCH_MESSAGE)) \
         .when(a == NEGATIVE, _verdict(True, NEGATIVE, CONF_EXACT, "")) \
         .when(has1 & ~has0, _verdict(True, POSITIVE, CONF_LOOSE, MATCH_MESSAGE)) \

@@ -366,8 +366,10 @@ PDF_CHUNKS = _packed(f"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc
 
 
 def _token_re_sql() -> str:
-    from ..operators.html import TOKEN_RE
-    return _lit(TOKEN_RE)
+    # RE2 runs in linear time and knows no possessive groups: a pattern of its own
+    tag = r"""</?[a-z](?:"[^"]*"|'[^']*'|[^'">])*>"""
+    dropped = "|".join(rf"<{t}\b.*?</{t}\s*>|<{t}\b.*" for t in ("script", "style"))
+    return _lit(rf"(?is){dropped}|<!--.*?-->|<![^>]*>|{tag}|[^<]+|<")
 
 
 # Entities the fixture pages hold inside paragraphs, decoded per text token
@@ -391,11 +393,11 @@ WITH RECURSIVE toks AS (
         FROM (SELECT page_id, regexp_extract_all(html, {_token_re_sql()}, 0) AS t FROM pages))
 ), cls AS (
   SELECT page_id, i, tok,
-         lower(regexp_extract(tok, '^</?([A-Za-z][^\s/>]*)', 1)) AS tag,
+         lower(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tag,
          starts_with(tok, '</') AS closing,
          CASE WHEN NOT starts_with(tok, '<') OR tok = '<' THEN 'text'
-              WHEN regexp_matches(tok, '^(?i)<(script|style)\b|^<!') THEN 'skip'
-              WHEN list_contains({_VOID_SQL}, lower(regexp_extract(tok, '^</?([A-Za-z][^\s/>]*)', 1))) THEN 'skip'
+              WHEN regexp_matches(tok, '^(?i)<(script|style)\\b|^<!') THEN 'skip'
+              WHEN list_contains({_VOID_SQL}, lower(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1))) THEN 'skip'
               WHEN NOT starts_with(tok, '</') AND ends_with(tok, '/>') THEN 'selfclosed'
               ELSE 'tag' END AS kind
   FROM toks

@@ -311,4 +311,4 @@ REGISTRY = {
     "extract_passages": extract_passages,
 }
 
-FLAGSHIP = txt_stanzas
+FLAGSHIP = findings

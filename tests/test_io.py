@@ -18,12 +18,25 @@ def test_read_and_dispatch(spark, scratch):
     open(os.path.join(d, "b.txt"), "wb").write(("x" * 60 + "\r\n\r\n" + "y" * 60 + "\r\n").encode())
     open(os.path.join(d, "c.htm"), "w").write("<p>ignored</p>")
     open(os.path.join(d, "d.txt"), "wb").write(b"\xff\xfe bad bytes")
+    open(os.path.join(d, "e.pdf"), "wb").write(b"%PDF \xff\xfe")
     docs, bad = read_documents(spark, d)
     assert [r.path.rsplit("/", 1)[1] for r in bad.collect()] == ["d.txt"]
     passages, rejects = X.extract_passages(docs)
     got = sorted((r.content_type, r.passage_no, r.text) for r in passages.collect())
     assert got == [("paragraphs", 0, long_p), ("stanzas", 0, "x" * 60), ("stanzas", 1, "y" * 60)]
-    assert [r.reason for r in rejects.collect()] == ["unsupported file type: .htm"]
+    assert sorted(r.reason for r in rejects.collect()) == ["unsupported file type: .htm", "unsupported file type: .pdf"]
+    pdf = docs.where("format = '.pdf'").select("doc_id").first().doc_id
+    text = spark.createDataFrame([(pdf, 0, "Page text that is long enough to be kept as a chunk.")], "doc_id long, page_no int, text string")
+    passages, rejects = X.extract_passages(docs, text)
+    assert [r.text for r in passages.where("content_type = 'chunks'").collect()] == ["Page text that is long enough to be kept as a chunk."]
+    upper = docs.withColumn("format", F.upper("format"))
+    assert X.extract_passages(upper)[0].count() == 3
+
+
+def test_replacement_character_is_valid_text(spark, scratch):
+    open(os.path.join(scratch, "x.txt"), "w", encoding="utf-8").write("a \ufffd stays " * 6)
+    docs, bad = read_documents(spark, scratch)
+    assert docs.first().content == "a \ufffd stays " * 6 and bad.count() == 0
 
 
 def test_results_keyed_restart_and_reports(spark, scratch):
@@ -45,12 +58,21 @@ def test_results_keyed_restart_and_reports(spark, scratch):
     totals = Q.run_totals(spark, SF001)
     out = os.path.join(scratch, "report")
     S.write_reports(findings, totals, out)
-    quotes = "".join(open(f).read() for f in sorted(glob.glob(f"{out}/raw_quotes/part-*")))
-    want = [r.raw_quote for r in findings.orderBy("finding_no").collect()]
-    assert quotes == "".join(q + "\n" for q in want)
-    detail = "".join(open(f).read() for f in sorted(glob.glob(f"{out}/detailed_results/part-*")))
-    assert detail.startswith("Matching Paragraphs Found\n" + "=" * 50 + "\n")
-    assert "Finding #1 (Paragraph " in detail and "PROCESSING COMPLETE" in detail
+    def whole(name, run=0):
+        return "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(f"{out}/{name}/run_id={run}/part-*")))
+
+    found = findings.orderBy("finding_no").collect()
+    assert whole("raw_quotes") == "".join(r.raw_quote + "\n" for r in found)
+    t = totals.first()
+    text = "Matching Paragraphs Found\n" + "=" * 50 + "\n\n" + "".join(r.detail for r in found if r.detail)
+    end = f"Total paragraphs processed: {t.processed}\nMatches found: {t.found}\n"
+    assert whole("detailed_results").startswith(text) and end in whole("detailed_results")[len(text):]
+    S.write_reports(findings.unionByName(findings.withColumn("run_id", F.lit(1))),
+                    totals.unionByName(totals.withColumn("run_id", F.lit(1))), out, simple=True)
+    assert whole("raw_quotes", 1) == whole("raw_quotes", 0)
+    assert "PROCESSING COMPLETE" in whole("detailed_results", 1) and "Finding #" not in whole("detailed_results", 1)
+    S.restart(spark, res_path, 1, reports=out)
+    assert not os.path.exists(f"{out}/raw_quotes/run_id=1") and os.path.exists(f"{out}/raw_quotes/run_id=0")
 
 
 def test_read_and_validate_jobs(spark, scratch):
@@ -77,3 +99,16 @@ def test_read_and_validate_jobs(spark, scratch):
         "unknown": (False, "unknown models: big-model"),
         "htm": (False, "unsupported type: .htm"),
     }
+
+
+def test_jobs_of_one_file(spark, scratch):
+    from quarry.operators import jobs as J
+    one = '{"model_names": ["a"], "target_file": "x.txt", "search_criteria": "%d"}'
+    open(os.path.join(scratch, "two.json"), "w").write(one % 1 + "\n" + one % 2 + "\n")
+    open(os.path.join(scratch, "list.json"), "w").write("[" + one % 3 + ",\n" + one % 4 + "]")
+    got = {(r.job_id, r.search_criteria) for r in J.read_jobs(spark, scratch).collect()}
+    assert got == {("two-1", "1"), ("two-2", "2"), ("list-1", "3"), ("list-2", "4")}
+    open(os.path.join(scratch, "bad.json"), "w").write("not json")
+    import pytest
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        J.read_jobs(spark, scratch).collect()

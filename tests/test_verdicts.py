@@ -2,30 +2,32 @@ from pyspark.sql import functions as F
 
 from quarry.operators import verdicts as V
 from quarry.plans.replay import ANSWERS
-from rules_py import verdict
-
-EXTRA = [
-    '{"verdict": 0, "verdict": 1, "excerpt": "dup", "explanation": "last wins"}',
-    '{"verdict": 1, "verdict": 0}',
-    '{"verdict":1}',
-    '<think>x</think>\n<think>unclosed',
-    '1:',
-    '   0   ',
-    'The verdict: {"verdict": 1, "excerpt": "a", "explanation": "b"} and {"x": 1}',
-]
-
-
-def test_parse_matches_python_rules(spark):
-    answers = ANSWERS + EXTRA
-    df = spark.createDataFrame([(i, a, f) for i, a in enumerate(answers) for f in (False, True)],
-                               "i int, raw string, final boolean")
-    got = V.with_verdict(df, "raw", F.col("final"), "v").orderBy("i", "final").collect()
-    for r in got:
-        want = verdict(r.raw, r.final)
-        if want is None:
-            assert not r.v.clear, r.raw
-        else:
-            assert r.v.clear and (r.v.label, r.v.confidence, r.v.explanation) == want, r.raw
+
+MATCH = "Match detected."
+# answer -> what the early models and the last model make of it; None: unclear
+TABLE = {
+    "1": ("1", 0.95, MATCH), "0": ("0", 0.95, ""), "  1  ": ("1", 0.95, MATCH), "   0   ": ("0", 0.95, ""),
+    "1:": ("1", 0.95, ""), "1:   spaced reason  ": ("1", 0.95, "spaced reason"),
+    "The answer is 1.": ("1", 0.85, MATCH), "Answer: 0": ("0", 0.85, ""),
+    "<think>a</think><think>b</think> 0": ("0", 0.95, ""), "<think>x</think>\n<think>unclosed": None,
+    "10": None, "maybe": None, "": None, "I cannot decide between 1 and 0": None, "{'verdict': 1}": ("1", 0.85, MATCH),
+}
+JSON_TABLE = {  # the last model reads JSON first
+    '{"verdict": 0}': ("0", 0.95, ""), '{"verdict": null}': ("0", 0.95, ""), '{"verdict": "1"}': ("1", 0.95, "Explanation:"),
+    '{"verdict": true}': ("0", 0.95, ""), '{"verdict": 1, "verdict": 0}': ("0", 0.95, ""),
+    '{"verdict": 0, "verdict": 1, "excerpt": "dup", "explanation": "last wins"}': ("1", 0.95, "dup\n\nExplanation: last wins"),
+    'Sure! {"verdict": 1, "excerpt": "quote", "explanation": "why"} Hope.': ("1", 0.95, "quote\n\nExplanation: why"),
+    '{"verdict": 1, "excerpt": null, "explanation": "n"}': ("1", 0.95, "Explanation: n"),
+    '{"verdict":1}x}': ("1", 0.85, MATCH), '{"verdict":1},{"verdict":0}': None,
+}
+
+
+def test_verdict_table(spark):
+    cases = [(a, f, w) for a, w in TABLE.items() for f in (False, True)] + [(a, True, w) for a, w in JSON_TABLE.items()]
+    df = spark.createDataFrame([(i, a, f) for i, (a, f, _) in enumerate(cases)], "i int, raw string, final boolean")
+    for r in V.with_verdict(df, "raw", F.col("final"), "v").collect():
+        want = cases[r.i][2]
+        assert ((r.v.label, r.v.confidence, r.v.explanation) if r.v.clear else None) == want, (r.raw, r.final)
 
 
 def test_resolve_attempts_first_clear_wins(spark):
