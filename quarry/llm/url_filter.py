@@ -95,6 +95,8 @@ def _grow(shapes: DataFrame) -> DataFrame:
             .withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(
                 F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("seg")).otherwise(F.lit("*"))))) \
             .drop("seg", "literal")
+        # a level reads the one before three times: cut the plan here, or it triples with every level
+        tree = materialize(tree, "url-tree")
     return tree
 
 
@@ -108,7 +110,7 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     shapes = materialize(urls.groupBy("host", "shape").agg(
         F.first("segs").alias("segs"), F.count(F.lit(1)).alias("n"), F.count("known").alias("labelled"),
         F.count(F.when(F.col("known") == "block", 1)).alias("blocked")), "url-shapes")
-    tree = materialize(_grow(shapes), "url-tree")
+    tree = _grow(shapes)
     blocked, labelled = tree.agg(F.coalesce(F.sum("blocked"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
     purity = (F.col("b") + PRIOR * (blocked / max(labelled, 1))) / (F.col("l") + PRIOR)
     judged = tree.groupBy("template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b")) \
