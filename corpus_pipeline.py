@@ -8,7 +8,9 @@ the last return the columns of ``documents``:
 * ``quality``: documents the factorisation machine rejects go. It learns from
   ``labels`` as operator 5 does.
 * ``near-duplicates``: of every component of linked documents the one with the
-  smallest id stays; documents without words link with nothing and stay.
+  smallest id stays (null is the smallest); documents without words link with
+  nothing and stay. Rows are told apart by id and text: a row repeated in both
+  stays once, and rows of one id with texts that do not link all stay.
 * ``mix``: a document comes as many times as the mix takes its words, rounded
   (0 to 3 copies; the one document cut by the budget is kept or dropped whole).
   Rows that share an id share their number of copies.
@@ -40,9 +42,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = jaccard_components(docs)
-    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti") \
-        .select(docs.columns)
+    key = "key_"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    found = jaccard_components(keyed, id_col=key).where("n_shingles > 0")
+    links = materialize(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")), "classes")
+    gone = links.where("doc_id != component_id").select(F.col("doc_id").alias(key))
+    again = links.where("doc_id = component_id and n > 1").select(F.col("doc_id").alias(key))
+    left = keyed.join(gone.union(again), key, "left_anti")
+    once = keyed.join(again, key, "left_semi").dropDuplicates([key])
+    return left.union(once).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,3 +218,16 @@ def test_pipeline_stages_take_effect(spark):
         if name == "bpe":
             assert len(after) == len(before) and (after.n_tokens > 0).all()
     assert docs.count() == corpus_pipeline.run(spark, SF).count()
+
+
+def test_pipeline_near_duplicates_edges(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long, "a", 1.0), (5, long, "b", 2.0), (5, "quite another text with words of its own", "c", 3.0),
+            (7, long + " tail", "d", 4.0), (9, "five words are one shingle", "e", 5.0), (None, "x y z", "f", 6.0),
+            (None, "x y z", "g", 7.0), (11, "x y z", "h", 8.0), (12, None, "i", 9.0), (13, "", "j", 10.0), (13, "", "k", 11.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key_ string, n_shingles double")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    assert kept == sorted([(5, long), (5, rows[2][1]), (9, rows[4][1]), (0, "x y z"), (12, ""), (13, ""), (13, "")])
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
