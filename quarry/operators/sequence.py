@@ -13,9 +13,11 @@ split each key's order range into blocks:
 * block offsets join back on ``(key, block)``, which spreads a hot key over
   as many shuffle partitions as it has blocks.
 
-With the default ``block=65536, levels=1`` a key holding 3e11 rows puts
-about 4.6e6 block totals in one sorted window task (tens of MB), every other
-task holds at most 65536 rows. ``levels=2`` adds another level for keys far
+With the default ``block=65536, levels=1`` and dense order values a key
+holding 3e11 rows puts about 4.6e6 block totals in one sorted window task (tens
+of MB), every other task holds at most 65536 rows. Blocks are ranges of the
+order *value*: sparse values (hashed ids) give up to one block a row, and then
+the last level's window task holds one total per row of its key. ``levels=2`` adds another level for keys far
 beyond that, at the price of a larger plan.
 """
 
