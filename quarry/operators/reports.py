@@ -95,6 +95,11 @@ def resume_state(completed: DataFrame, keys=("doc_id",), num_col: str = "passage
         (F.max(num_col) + 1).alias("resume_from"))
 
 
+def order_by_passage(results: DataFrame, keys=("doc_id", "passage_no")) -> DataFrame:
+    """Results by document and passage (a global range sort, no single task)."""
+    return results.orderBy(*keys)
+
+
 def next_run_id(runs: DataFrame, run_col: str = "run_id") -> DataFrame:
     """One past the highest existing run id, 0 when there is none."""
     return runs.agg((F.coalesce(F.max(run_col).cast("long"), F.lit(-1)) + 1).alias("next_run_id"))

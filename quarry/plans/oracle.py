@@ -206,6 +206,8 @@ def rule_cascade_sql(passages_sql: str, judges: list, keys: list[str],
 
 CASCADE_RULE = rule_cascade_sql(TXT_STANZAS, [SCREEN, VERIFY], ["doc_id", "passage_no"])
 
+ORDERED_RESULTS = f"SELECT * FROM ({CASCADE_RULE}) ORDER BY doc_id, passage_no"
+
 CASCADE_TRAIL = f"""
 SELECT cascade_info, status, count(*) AS passages,
        CAST(sum(CASE WHEN label = '1' THEN 1 ELSE 0 END) AS BIGINT) AS found
@@ -454,6 +456,7 @@ def sql() -> dict[str, str]:
         "resolve_attempts": RESOLVE_ATTEMPTS,
         "vote_resolution": VOTE_RESOLUTION,
         "cascade_rule": CASCADE_RULE,
+        "ordered_results": ORDERED_RESULTS,
         "cascade_trail": CASCADE_TRAIL,
         "findings": FINDINGS,
         "run_totals": RUN_TOTALS,

@@ -159,6 +159,11 @@ def cascade_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cascade_rules(conversation_stanzas(spark, sf_dir), two_judges(), KEYS)
 
 
+def ordered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade's results by document and passage."""
+    return K.order_by_passage(cascade_rule(spark, sf_dir), KEYS)
+
+
 def cascade_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M9: how document paragraphs end in a three-judge cascade, by trail."""
     res = C.cascade_rules(document_paragraphs(spark, sf_dir), three_judges(), KEYS)
@@ -293,6 +298,7 @@ REGISTRY = {
     "resolve_attempts": resolve_attempts,
     "vote_resolution": vote_resolution,
     "cascade_rule": cascade_rule,
+    "ordered_results": ordered_results,
     "cascade_trail": cascade_trail,
     "findings": findings,
     "run_totals": run_totals,

@@ -38,3 +38,10 @@ def test_pending_is_anti_join(spark):
     p = spark.createDataFrame([(1, i, "t") for i in range(5)], "doc_id long, passage_no int, text string")
     done = spark.createDataFrame([(1, 1), (1, 3), (2, 0)], "doc_id long, passage_no int")
     assert sorted(r.passage_no for r in R.pending(p, done).collect()) == [0, 2, 4]
+
+
+def test_order_by_passage(spark):
+    from quarry.operators.reports import order_by_passage
+    rows = [(2, 0), (1, 10), (1, 9), (3, 1), (1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, passage_no int").repartition(3)
+    assert [tuple(r) for r in order_by_passage(df).collect()] == sorted(rows)
