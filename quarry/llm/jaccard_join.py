@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -45,7 +45,7 @@ UNIT_PAIRS = 200_000    # pairs held back for repeats at the end of a unit
 
 
 def _sets(width: int):
-    """(doc_id, text) to (doc_id, n_shingles, c, c2, sketch)."""
+    """(doc_id, text, h) to (doc_id, h, n_shingles, c, c2, sketch)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, texts in S.text_slices(b.column("text").to_pylist()):
@@ -53,19 +53,26 @@ def _sets(width: int):
                 c, c2 = S.set_hashes(flat, sizes)
                 sketch = S.parity_sketches(flat, sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(lo, len(texts)), pa.array(sizes, pa.int64()), pa.array(c.view(np.int64)),
-                     pa.array(c2.view(np.int64)), pa.array(sketch, pa.binary())],
-                    ["doc_id", "n_shingles", "c", "c2", "sketch"])
+                    [b.column("doc_id").slice(lo, len(texts)), b.column("h").slice(lo, len(texts)), pa.array(sizes, pa.int64()),
+                     pa.array(c.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(sketch, pa.binary())],
+                    ["doc_id", "h", "n_shingles", "c", "c2", "sketch"])
     return run
 
 
+def _fresh(seen: set, c: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the sets this task has met: rows of one key may be copies."""
+    new = np.fromiter((not (k in seen or seen.add(k)) for k in c.tolist()), bool, len(c))
+    return (c, flat, sizes) if new.all() else (c[new], flat[np.repeat(new, sizes)], sizes[new])
+
+
 def _signatures(width: int):
     """text to (sig, c)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for b in batches:
             for _, texts in S.text_slices(b.column("text").to_pylist()):
                 flat, sizes = S.shingle_sets(texts, width)
-                c, _ = S.set_hashes(flat, sizes)
+                c, flat, sizes = _fresh(seen, S.set_hashes(flat, sizes)[0], flat, sizes)
                 sig, own = S.signatures(flat, sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(c[own].view(np.int64))],
                                                  ["sig", "c"])
@@ -75,10 +82,11 @@ def _signatures(width: int):
 def _whole_sets(width: int):
     """text to (c, items): the set itself, sorted, as bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
         for b in batches:
             for _, texts in S.text_slices(b.column("text").to_pylist()):
                 flat, sizes = S.shingle_sets(texts, width)
-                c, _ = S.set_hashes(flat, sizes)
+                c, flat, sizes = _fresh(seen, S.set_hashes(flat, sizes)[0], flat, sizes)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c.view(np.int64)),
@@ -222,12 +230,17 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
 
+def _key() -> Column:
+    """Of a row, never null: its id; of a null id the hash ``h`` of its text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link, as a written table."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct() \
-        .join(classes.select("c", "doc_id"), "c").select("doc_id").distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").select("text").mapInArrow(_whole_sets(width), "c long, items binary")
+        .join(classes.select("c", "key"), "c").select("key").distinct()
+    sets = texts.withColumn("key", _key()).join(ids, "key", "left_semi").select("text").mapInArrow(_whole_sets(width), "c long, items binary")
     sets = materialize(sets.dropDuplicates(["c"]), "sets")
     left = sets.select(F.col("c").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("c").alias("b"), F.col("items").alias("items_b"))
@@ -245,18 +258,19 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                        block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                        F.xxhash64(F.when(F.col(id_col).isNull(), F.col(text_col))).alias("h"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        _sets(width), f"doc_id {id_type}, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
+        _sets(width), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
     classes = rows.where("n_shingles > 0").groupBy("c", "c2", "n_shingles") \
-        .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min(_key()).alias("key"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
 
-    # one text per class: leave out rows that are nobody's smallest id
-    copies = rows.select("doc_id").join(classes.select("doc_id"), "doc_id", "left_anti").distinct()
+    # one text per class: leave out rows whose key is nobody's smallest
+    copies = rows.select(_key().alias("key")).join(classes.select("key"), "key", "left_anti").distinct()
     copies = materialize(copies, "copies")
-    shared = texts.where(F.length("text") > 0).join(copies, "doc_id", "left_anti").select("text") \
+    shared = texts.where(F.length("text") > 0).withColumn("key", _key()).join(copies, "key", "left_anti").select("text") \
         .mapInArrow(_signatures(width), "sig long, c long") \
         .repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_shared_only, "sig long, c long, hub long")
     shared = materialize(shared, "shared-signatures")
