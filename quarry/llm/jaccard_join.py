@@ -13,7 +13,11 @@
    pair is tested against the bounds inside a task, and those that pass are
    verified too. A group of more than ``BLOCK`` classes is cut into blocks, and
    every pair of blocks is a task's work, so no group meets in one task.
-   Links inside a component need no test: they cannot change the result.
+   Links inside a component need no test here: they cannot change the components.
+5. ``jaccard_links`` also counts the links of every document. All links lie
+   inside components, so there every pair of classes is met once, in blocks of
+   ``LINK_ROWS`` classes dealt in pairs (small components share a block), and
+   its whole sets are intersected; a class and a partial count leave the task.
 
 The bounds and the verification are exact up to equal 64-bit hashes of
 different shingles (about 1e-14 for a pair of texts of 500 words).
@@ -42,6 +46,8 @@ BLOCK = 4096
 CHUNK_ROWS = 16_384      # rows of groups compared at once
 UNIT_ROWS = 1_000_000   # rows of one unit of work
 UNIT_PAIRS = 200_000    # pairs held back for repeats at the end of a unit
+LINK_ROWS = 1024         # classes of one block when links are counted
+LINK_ITEMS = 500_000     # and shingles, about
 
 
 def _sets(width: int):
@@ -230,13 +236,99 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], ["a", "b"])
 
 
+def _shared(a: np.ndarray, own_a: np.ndarray, n_a: int, b: np.ndarray, own_b: np.ndarray, n_b: int) -> np.ndarray:
+    """Shingles that set i of one side and set j of the other have in common.
+    Those in many sets of both are multiplied as 0/1 columns, the others
+    paired row by row."""
+    items, col_b, f_b = np.unique(b, return_inverse=True, return_counts=True)
+    at = np.minimum(np.searchsorted(items, a), len(items) - 1)
+    met = items[at] == a
+    col_a, own_a = at[met], own_a[met]
+    f_a = np.bincount(col_a, minlength=len(items))
+    out = np.zeros((n_a, n_b), np.int64)
+    dense = f_a * f_b > max(64, n_a * n_b // 32)
+    wide = np.flatnonzero(dense)
+    place = np.cumsum(dense) - 1
+    in_a, in_b = dense[col_a], dense[col_b]
+    da, ra, db, rb = place[col_a[in_a]], own_a[in_a], place[col_b[in_b]], own_b[in_b]
+    for lo in range(0, len(wide), 1024):
+        x, y = np.zeros((n_a, 1024), np.float32), np.zeros((n_b, 1024), np.float32)
+        here, there = (da >= lo) & (da < lo + 1024), (db >= lo) & (db < lo + 1024)
+        x[ra[here], da[here] - lo] = 1
+        y[rb[there], db[there] - lo] = 1
+        out += (x @ y.T).astype(np.int64)
+    col_a, own_a = col_a[~in_a], own_a[~in_a]
+    order = np.argsort(col_b, kind="stable")
+    rows_b, first_b = own_b[order], np.cumsum(f_b) - f_b
+    ends = np.cumsum(f_b[col_a])
+    lo = 0
+    while lo < len(col_a):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 4_000_000)))
+        times = f_b[col_a[lo:hi]]
+        step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        j = rows_b[np.repeat(first_b[col_a[lo:hi]], times) + step]
+        out += np.bincount(np.repeat(own_a[lo:hi], times) * n_b + j, minlength=n_a * n_b).reshape(n_a, n_b)
+        lo = hi
+    return out
+
+
+def _count_links(t: pa.Table) -> pa.Table:
+    """Rows (x, y, side, c, copies, items) of a block (x = y) or of two to
+    (c, n): the documents of other classes here that each class links with."""
+    c, side = t.column("c").to_numpy(), t.column("side").to_numpy()
+    copies, blob = t.column("copies").to_numpy(), t.column("items").to_pylist()
+    one = t.column("x")[0] == t.column("y")[0]
+
+    def sets(rows: np.ndarray):
+        own = [np.frombuffer(blob[r], np.uint64) for r in rows]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        return (np.concatenate(own) if own else np.zeros(0, np.uint64)), np.repeat(np.arange(len(own)), size), size
+
+    left = np.arange(len(c)) if one else np.flatnonzero(side == 0)
+    right = left if one else np.flatnonzero(side == 1)
+    if not len(left) or not len(right):
+        return pa.table({"c": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    (a, own_a, n_a), (b, own_b, n_b) = sets(left), sets(right)
+    both = _shared(a, own_a, len(left), b, own_b, len(right))
+    linked = 100 * both >= 75 * (n_a[:, None] + n_b[None, :] - both)
+    if one:
+        np.fill_diagonal(linked, False)
+        found = [(c[left], linked @ copies[right])]
+    else:
+        found = [(c[left], linked @ copies[right]), (c[right], copies[left] @ linked)]
+    return pa.table({"c": np.concatenate([k for k, _ in found]), "n": np.concatenate([n for _, n in found]).astype(np.int64)})
+
+
+def _partners(named: DataFrame, sets: DataFrame, rows: int, items: int) -> DataFrame:
+    """(c, n) for the classes of ``named`` in components of several: documents of
+    other classes they link with, from the whole ``sets`` (c, items)."""
+    sizes = named.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("total")).where("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / rows), F.ceil(F.col("total") / items)).cast("long")
+    sizes = materialize(sizes.select("root", F.least("size", blocks).alias("k"), "size", "total"), "component-sizes")
+    small = sizes.where("k = 1").agg(F.sum("size"), F.sum("total")).first()
+    parts = max(1, -(-(small[0] or 0) // rows), -(-(small[1] or 0) // items))
+    # components of one block share blocks: sets of different components do not link
+    alone = F.col("k") == 1
+    members = named.join(sizes, "root").withColumns({
+        "unit": F.when(alone, F.pmod(F.xxhash64("root"), F.lit(parts)) - parts).otherwise(F.lit(0).cast("long")),
+        "root": F.when(alone, F.lit(0).cast("long")).otherwise(F.col("root"))})
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("c"), F.col("k"))) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))) \
+        .join(sets, "c").select(
+            "root", "unit", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
+            F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "c", "copies", "items")
+    return dealt.groupBy("root", "unit", "x", "y").applyInArrow(_count_links, "c long, n long") \
+        .groupBy("c").agg(F.sum("n").alias("n"))
+
+
 def _key() -> Column:
     """Of a row, never null: its id; of a null id the hash ``h`` of its text."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link, as a written table."""
+def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of classes whose sets link, and the sets (c, items) of
+    all pairs, as written tables."""
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct() \
         .join(classes.select("c", "key"), "c").select("key").distinct()
@@ -245,7 +337,7 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -
     left = sets.select(F.col("c").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("c").alias("b"), F.col("items").alias("items_b"))
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-                       .mapInArrow(_verify, "a long, b long"), "linked")
+                       .mapInArrow(_verify, "a long, b long"), "linked"), sets
 
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -258,13 +350,25 @@ def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
                        block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    return _join(docs, id_col, text_col, width, block)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
+                  block: int = BLOCK, rows: int = LINK_ROWS, items: int = LINK_ITEMS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), one row per row of
+    ``docs``; n_links: other rows it links with, copies of its set included."""
+    return _join(docs, id_col, text_col, width, block, (rows, items))
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, width: int, block: int,
+          counted: tuple[int, int] | None = None) -> DataFrame:
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                         F.xxhash64(F.when(F.col(id_col).isNull(), F.col(text_col))).alias("h"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
         _sets(width), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
     classes = rows.where("n_shingles > 0").groupBy("c", "c2", "n_shingles") \
-        .agg(F.min("doc_id").alias("doc_id"), F.min(_key()).alias("key"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("doc_id"), F.min(_key()).alias("key"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
 
     # one text per class: leave out rows whose key is nobody's smallest
@@ -277,7 +381,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     hubs = shared.where("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
     tested = _bounded_pairs(hubs, classes)
-    links = _links(tested, texts, classes, width)
+    links, sets = _links(tested, texts, classes, width)
     found = components(links)
 
     labelled = shared.select("sig", "c").join(found, F.col("c") == F.col("node"), "left") \
@@ -296,16 +400,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = members.repartition("low", "part", "x", "y") \
         .sortWithinPartitions("low", "part", "sig", "x", "y", "n").mapInArrow(_within_blocks, "a long, b long") \
         .distinct().join(hubs, ["a", "b"], "left_anti")
-    links = links.union(_links(more, texts, classes, width))
-    found = components(links)
+    late, late_sets = _links(more, texts, classes, width)
+    found = components(links.union(late))
 
     named = classes.join(found, F.col("c") == F.col("node"), "left") \
-        .select("c", "c2", F.col("n_shingles"), "doc_id", F.coalesce("root", "c").alias("root"))
+        .select("c", "c2", F.col("n_shingles"), "doc_id", "copies", F.coalesce("root", "c").alias("root"))
     low = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(low, "root").select("c", "c2", "n_shingles", "component_id")
-    return rows.join(named, ["c", "c2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        .alias("component_id"))
+    per_class = ["component_id"]
+    if counted:
+        named = materialize(named, "named")
+        sets = sets.union(late_sets.join(sets.select("c"), "c", "left_anti"))
+        named = named.join(_partners(named, sets, *counted), "c", "left") \
+            .withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+        per_class.append("n_links")
+    named = named.join(low, "root").select("c", "c2", "n_shingles", *per_class)
+    out = rows.join(named, ["c", "c2", "n_shingles"], "left").withColumn(
+        "component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    if counted:
+        out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return out.select("doc_id", "n_shingles", *per_class)
 
 
 ORACLE = r"""
@@ -323,3 +436,7 @@ r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.see
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.seen)::BIGINT AS component_id
 FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
 """
+
+#: With the number of links, as another statement.
+LINKS_ORACLE = ORACLE.replace("min(r.seen)::BIGINT AS component_id", """min(r.seen)::BIGINT AS component_id,
+       (SELECT count(*) FROM l WHERE l.a = d.doc_id)::BIGINT AS n_links""")

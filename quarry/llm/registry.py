@@ -55,6 +55,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
@@ -74,6 +78,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op8_jaccard_links": op8_jaccard_links,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_mixing": op10_mixing,
 }
@@ -83,5 +88,6 @@ ORACLE: dict[str, str] = {
     "op2_near_vectors": near_vectors.ORACLE,
     "op4_license_scan": licenses.oracle(),
     "op8_jaccard_join": jaccard_join.ORACLE,
+    "op8_jaccard_links": jaccard_join.LINKS_ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
