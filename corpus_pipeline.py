@@ -13,7 +13,8 @@ the last return the columns of ``documents``:
   stays once, and rows of one id with texts that do not link all stay.
 * ``mix``: a document comes as many times as the mix takes its words, rounded
   (0 to 3 copies; the one document cut by the budget is kept or dropped whole).
-  Rows that share an id share their number of copies.
+  Every row has its own number of copies, null and repeated ids too; the seeded
+  order is that of a hash of id and text.
 * ``bpe``: (doc_id, n_tokens, ids, decoded_sha256), ids as
   little-endian unsigned 32-bit integers.
 
@@ -35,6 +36,12 @@ from quarry.session import materialize, ship_package
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -42,9 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    key = "key_"
-    while key in docs.columns:
-        key += "_"
+    key = _unused(docs, "key_")
     keyed = docs.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     found = jaccard_components(keyed, id_col=key).where("n_shingles > 0")
     links = materialize(found.groupBy("doc_id", "component_id").agg(F.count(F.lit(1)).alias("n")), "classes")
@@ -56,12 +61,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix(docs).groupBy(F.col("doc_id").alias("id_")).agg(
-        F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
-    copies = F.round(F.col("taken_") / F.col("size_")).cast("int")
-    taken = taken.where("size_ > 0").select("id_", copies.alias("copies_")).where("copies_ > 0")
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["id_"])) \
-        .withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(docs.columns)
+    row, key, copies = (_unused(docs, name) for name in ("row_", "key_", "copies_"))
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    keyed = rows.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    taken = mix(keyed, id_col=key, row_col=row).where("size > 0").select(
+        F.col("row").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return rows.join(taken.where(F.col(copies) > 0), row) \
+        .withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

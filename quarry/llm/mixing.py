@@ -63,12 +63,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], repeats: int) ->
                     .otherwise(F.least(F.col("cap"), level * F.col("w"))).alias("target"))
 
 
-def _shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+def _shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str,
+              row_col: str | None = None) -> DataFrame:
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       words_in(F.col(text_col)).cast("long").alias("size"))
+                       words_in(F.col(text_col)).cast("long").alias("size"), row.alias("row"))
     digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return rows.select(
-        "doc_id", "size", F.monotonically_increasing_id().alias("row"),
+        "doc_id", "size", "row",
         # by code point, null last: "0..." sorts before "1"
         F.coalesce(F.concat(F.lit("0"), "source"), F.lit("1")).alias("key"),
         F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("h"))
@@ -84,10 +86,12 @@ def _last_before(sums: DataFrame, budget: int) -> tuple[int, int] | None:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
+        weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS, seed: str = SEED,
+        row_col: str | None = None) -> DataFrame:
     """(doc_id, row, size, source_size, target, taken): words the
-    mix takes of every row, repeats counted."""
-    sized = _shuffled(docs, id_col, text_col, source_col, seed)
+    mix takes of every row, repeats counted. ``row``: of ``row_col`` (unique,
+    not null), or numbered here."""
+    sized = _shuffled(docs, id_col, text_col, source_col, seed, row_col)
     sized = materialize(sized.withColumn("bucket", F.shiftright("h", 50)), "sized")   # h has 60 bits: 1024 buckets
     targets = source_targets(sized, weights, repeats)
     sums = sized.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
