@@ -2,7 +2,8 @@
 
 Base: the places where a phrase's words stand consecutively.
 
-Method: a text is cut into blocks of ``BLOCK`` words that overlap by half, so
+Method: a text is cut into blocks of ``BLOCK`` words (or twice those of the
+longest template, if more) that overlap by half, so
 every passage of up to half a block lies whole in one. A block matches a
 template when it holds at least ``alpha = ceil(threshold * |T|)`` of its |T|
 distinct tokens. Tokens are ordered by the number of documents that hold them,
@@ -95,6 +96,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     spark = docs.sparkSession
     tokens = {name: list(dict.fromkeys(t.split(" "))) for name, t in templates.items()}
+    # half a block holds the longest template, so some block holds any copy of it whole
+    block = max(block, 2 * max(len(t.split(" ")) for t in templates.values()))
     vocabulary = sorted({t for ts in tokens.values() for t in ts})
     rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
 
