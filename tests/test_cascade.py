@@ -3,7 +3,7 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from quarry.operators import cascade as C
 from quarry.plans import queries as Q
 from quarry.plans.rules import SCREEN, VERIFY, two_judges

@@ -3,7 +3,7 @@ import os
 import pyarrow.parquet as pq
 
 import __spark_entry__ as E
-from conftest import SF001
+from paths import SF001
 from quarry.operators import cascade as C
 from quarry.plans import queries as Q
 from quarry.plans.rules import two_judges

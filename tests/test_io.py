@@ -3,7 +3,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from quarry.operators import extract as X
 from quarry.operators import sinks as S
 from quarry.plans import queries as Q

@@ -1,7 +1,7 @@
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from quarry.operators import passages as P
 from quarry.plans import queries as Q
 

@@ -1,6 +1,6 @@
 """Plan shape guards: the scale properties the design relies on."""
 
-from conftest import SF001
+from paths import SF001
 from quarry.operators import cascade as C
 from quarry.plans import queries as Q
 from quarry.plans.rules import three_judges
