@@ -34,7 +34,7 @@ PURITY = 0.9
 
 # The rules (verdict, host, path).
 RULES = (
-    ("allow", "org", "/fr/"),
+    ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
     ("block", "example.org", "/en/1"),
     ("allow", "com", "/fr/"),

@@ -44,11 +44,11 @@ def test_url_base_rules(spark):
     df = spark.createDataFrame([(*u, "k") for u in urls], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(df).collect()}
     assert got[1] == ("a.example.org", "/es/x", "example.org/es/", "block")
-    assert got[2][2:] == ("example.org/en/1", "block") and got[3] == ("example.org", "/en/2", None, "allow")
+    assert got[2][2:] == ("example.org/en/1", "block") and got[3] == ("example.org", "/en/2", "org/", "allow")
     assert got[4] == got[5] == ("", "", None, "allow")
     assert got[6][2:] == ("com/de/", "block") and got[7][2:] == ("com/fr/", "allow")
-    assert got[8][2] is None and got[9][:2] == ("h", "") and got[None][2] == "org/fr/"
-    assert got[10][:2] == ("b:", "//example.org/es/") and got[11][2] is None
+    assert got[8][2] is None and got[9][:2] == ("h", "") and got[None][2] == "org/"
+    assert got[10][:2] == ("b:", "//example.org/es/") and got[11][2] == "org/"
 
 
 def test_url_templates_reject_by_purity(spark):
