@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import jaccard_join, licenses, mixing, near_vectors, top_k
+from . import fill_middle, jaccard_join, language, licenses, lloyd, mixing, near_vectors, top_k
 from .bpe_codec import encode_decode
 from .quality import quality_scores
 from .token_counts import token_counts
@@ -69,6 +69,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).drop("row")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_near_vectors": op2_near_vectors,
@@ -81,6 +93,9 @@ QUERIES = {
     "op8_jaccard_links": op8_jaccard_links,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_mixing": op10_mixing,
+    "op11_centroids": op11_centroids,
+    "op12_language": op12_language,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE: dict[str, str] = {
@@ -90,4 +105,6 @@ ORACLE: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op8_jaccard_links": jaccard_join.LINKS_ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_centroids": lloyd.oracle(),
+    "op13_fill_middle": fill_middle.ORACLE,
 }
