@@ -9,9 +9,9 @@ as one of ``BINS`` ranges. The machine scores
 in time linear in the features: the square of the sum less the sum of squares
 gives all pairwise interactions of rank ``RANK``.
 
-Training takes a bounded sample: about ``SAMPLE_ROWS`` labelled rows, chosen by a
-hash of their id among those whose crc32(id) mod 5 is not 0, whatever the size
-of the corpus. Their features are made by the executors; the driver fits by
+Training takes a bounded sample: about ``SAMPLE_ROWS`` labelled ids, chosen by a
+hash of the id among those whose crc32(id) mod 5 is not 0, whatever the size
+of the corpus, and of each the row of the smallest text hash. Their features are made by the executors; the driver fits by
 Adam with a fixed seed, so reruns agree. Scoring runs over every text in
 parallel with the model (about a megabyte) in the task. Labels, language,
 source and id are no inputs of a score.
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
+from .slices import binary_slices, slim
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -142,16 +143,20 @@ def fold(id_col: Column) -> Column:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (label, ids, values): one row's entries as bytes."""
+    """(doc_id, label, text) to (doc_id, label, ids, values), each id once a task: one
+    row's entries as bytes."""
+    seen: set = set()
     for b in batches:
-        for lo, texts in S.text_slices(b.column("text").to_pylist()):
+        new = [not (d in seen or seen.add(d)) for d in b.column("doc_id").to_pylist()]
+        b = b.filter(pa.array(new, pa.bool_()))
+        for lo, texts in binary_slices(b.column("text")):
             ids, x, per = features(texts)
             end = np.cumsum(per)
             yield pa.RecordBatch.from_arrays(
-                [b.column("label").slice(lo, len(texts)),
+                [b.column("doc_id").slice(lo, len(texts)), b.column("label").slice(lo, len(texts)),
                  pa.array([ids[e - k:e].astype(np.int32).tobytes() for e, k in zip(end, per)], pa.binary()),
                  pa.array([x[e - k:e].astype(np.float32).tobytes() for e, k in zip(end, per)], pa.binary())],
-                ["label", "ids", "x"])
+                ["doc_id", "label", "ids", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -163,10 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = known.count()
     if n > sample_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * sample_rows / n))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    # the sample is bounded by sample_rows, so it may be broadcast
-    rows = texts.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").repartition("doc_id") \
-        .mapInArrow(_rows, "label double, ids binary, x binary").collect()
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    # the sample is bounded by sample_rows, so it may be broadcast; of a repeated id one row is left,
+    # first by its text's hash, then of equal rows: in every task, and again behind the shuffle
+    chosen = texts.select("doc_id", "h").join(F.broadcast(known), "doc_id").groupBy("doc_id") \
+        .agg(F.min("h").alias("h"), F.min("label").alias("label"))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "label", "text") \
+        .mapInArrow(slim(_rows), f"doc_id {id_type}, label double, ids binary, x binary") \
+        .groupBy("doc_id").agg(F.first("label").alias("label"), F.first("ids").alias("ids"), F.first("x").alias("x")).collect()
     rows.sort(key=lambda r: (bytes(r["ids"]), bytes(r["x"]), r["label"]))
     y = np.array([r["label"] for r in rows])
     if not len(y) or (y == y[0]).all():
@@ -182,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(machine: Machine | None, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, texts in S.text_slices(b.column(text_col).to_pylist()):
+            for lo, texts in binary_slices(b.column(text_col)):
                 score = machine.scores(*features(texts)) if machine is not None else np.full(len(texts), 0.5)
                 part = b.slice(lo, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], [*b.schema.names, name])
@@ -192,7 +202,7 @@ def _score(machine: Machine | None, text_col: str, name: str):
 def scored(docs: DataFrame, machine: Machine | None, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with one column more, the score."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(machine, text_col, name), f"{fields}, `{name}` double")
+    return docs.mapInArrow(slim(_score(machine, text_col, name)), f"{fields}, `{name}` double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
