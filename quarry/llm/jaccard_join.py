@@ -40,12 +40,13 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from . import shingles as S
 from .components import components
+from .slices import binary_slices, slim
 
 WIDTH = 5
 BLOCK = 4096
 CHUNK_ROWS = 16_384      # rows of groups compared at once
 UNIT_ROWS = 1_000_000   # rows of one unit of work
-UNIT_PAIRS = 200_000    # pairs held back for repeats at the end of a unit
+UNIT_PAIRS = 200_000    # pairs held back by a task for repeats
 LINK_ROWS = 1024         # classes of one block when links are counted
 LINK_ITEMS = 500_000     # and shingles, about
 
@@ -54,7 +55,7 @@ def _sets(width: int):
     """(doc_id, text, h) to (doc_id, h, n_shingles, c, c2, sketch)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, texts in S.text_slices(b.column("text").to_pylist()):
+            for lo, texts in binary_slices(b.column("text")):
                 flat, sizes = S.shingle_sets(texts, width)
                 c, c2 = S.set_hashes(flat, sizes)
                 sketch = S.parity_sketches(flat, sizes)
@@ -76,7 +77,7 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
-            for _, texts in S.text_slices(b.column("text").to_pylist()):
+            for _, texts in binary_slices(b.column("text")):
                 flat, sizes = S.shingle_sets(texts, width)
                 c, flat, sizes = _fresh(seen, S.set_hashes(flat, sizes)[0], flat, sizes)
                 sig, own = S.signatures(flat, sizes)
@@ -90,7 +91,7 @@ def _whole_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         for b in batches:
-            for _, texts in S.text_slices(b.column("text").to_pylist()):
+            for _, texts in binary_slices(b.column("text")):
                 flat, sizes = S.shingle_sets(texts, width)
                 c, flat, sizes = _fresh(seen, S.set_hashes(flat, sizes)[0], flat, sizes)
                 at = np.concatenate([[0], np.cumsum(sizes)])
@@ -188,8 +189,8 @@ def _distinct(pairs: list[pa.RecordBatch]) -> pa.RecordBatch:
 def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (low, part, sig, x, y, side, c, label, n, sketch), sorted by the
     first five and n, to their pairs. Groups (of two blocks at most) are worked
-    on some at a time; near texts meet in many groups, so a unit (low, part)
-    gives each of its pairs once."""
+    on some at a time; near texts meet in many groups, so up to UNIT_PAIRS pairs are
+    held back and given once (the caller makes the rest distinct)."""
     rows, size, found, last = [], 0, [], None
 
     def work() -> None:
@@ -213,8 +214,7 @@ def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows.append(b.slice(lo, s - lo))
             size += s - lo
             work()
-            before = key[:2, s - 1] if s else last[:2]
-            if found and found[0].num_rows > UNIT_PAIRS and (key[:2, s] != before).any():
+            if found and found[0].num_rows > UNIT_PAIRS:
                 yield found.pop()
             lo = s
         rows.append(b.slice(lo))
@@ -228,8 +228,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, items_a, items_b) to the linked (a, b)."""
     for b in batches:
         ok = []
-        for x, y in zip(b.column("items_a").to_pylist(), b.column("items_b").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(b.column("items_a"), b.column("items_b")):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             ok.append(100 * both >= 75 * (len(x) + len(y) - both))
         ok = pa.array(ok, pa.bool_())
@@ -332,19 +332,19 @@ def _links(pairs: DataFrame, texts: DataFrame, classes: DataFrame, width: int) -
     pairs = materialize(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct() \
         .join(classes.select("c", "key"), "c").select("key").distinct()
-    sets = texts.withColumn("key", _key()).join(ids, "key", "left_semi").select("text").mapInArrow(_whole_sets(width), "c long, items binary")
+    sets = texts.withColumn("key", _key()).join(ids, "key", "left_semi").select("text").mapInArrow(slim(_whole_sets(width)), "c long, items binary")
     sets = materialize(sets.dropDuplicates(["c"]), "sets")
     left = sets.select(F.col("c").alias("a"), F.col("items").alias("items_a"))
     right = sets.select(F.col("c").alias("b"), F.col("items").alias("items_b"))
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "items_a", "items_b")
-                       .mapInArrow(_verify, "a long, b long"), "linked"), sets
+                       .mapInArrow(slim(_verify), "a long, b long"), "linked"), sets
 
 
 def _bounded_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that pass the bounds."""
     side = lambda k: classes.select(F.col("c").alias(k), F.col("n_shingles").alias(f"n_{k}"),
                                     F.col("sketch").alias(f"sketch_{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bounded, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(slim(_bounded), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -366,7 +366,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, block: int,
                         F.xxhash64(F.when(F.col(id_col).isNull(), F.col(text_col))).alias("h"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        _sets(width), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
+        slim(_sets(width)), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
     classes = rows.where("n_shingles > 0").groupBy("c", "c2", "n_shingles") \
         .agg(F.min("doc_id").alias("doc_id"), F.min(_key()).alias("key"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
@@ -375,8 +375,8 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, block: int,
     copies = rows.select(_key().alias("key")).join(classes.select("key"), "key", "left_anti").distinct()
     copies = materialize(copies, "copies")
     shared = texts.where(F.length("text") > 0).withColumn("key", _key()).join(copies, "key", "left_anti").select("text") \
-        .mapInArrow(_signatures(width), "sig long, c long") \
-        .repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(_shared_only, "sig long, c long, hub long")
+        .mapInArrow(slim(_signatures(width)), "sig long, c long") \
+        .repartition("sig").sortWithinPartitions("sig", "c").mapInArrow(slim(_shared_only), "sig long, c long, hub long")
     shared = materialize(shared, "shared-signatures")
 
     hubs = shared.where("c != hub").select(F.col("c").alias("a"), F.col("hub").alias("b")).distinct()
@@ -398,7 +398,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, block: int,
         .select("low", "part", "sig", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"),
                 F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "c", "label", "n", "sketch")
     more = members.repartition("low", "part", "x", "y") \
-        .sortWithinPartitions("low", "part", "sig", "x", "y", "n").mapInArrow(_within_blocks, "a long, b long") \
+        .sortWithinPartitions("low", "part", "sig", "x", "y", "n").mapInArrow(slim(_within_blocks), "a long, b long") \
         .distinct().join(hubs, ["a", "b"], "left_anti")
     late, late_sets = _links(more, texts, classes, width)
     found = components(links.union(late))

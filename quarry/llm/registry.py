@@ -52,10 +52,6 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
-
-
-def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_links(_table(spark, sf_dir, "documents"))
 
 
@@ -90,7 +86,6 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_token_counts": op7_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
-    "op8_jaccard_links": op8_jaccard_links,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_mixing": op10_mixing,
     "op11_centroids": op11_centroids,
@@ -102,8 +97,7 @@ ORACLE: dict[str, str] = {
     "op1_top_k": top_k.ORACLE,
     "op2_near_vectors": near_vectors.ORACLE,
     "op4_license_scan": licenses.oracle(),
-    "op8_jaccard_join": jaccard_join.ORACLE,
-    "op8_jaccard_links": jaccard_join.LINKS_ORACLE,
+    "op8_jaccard_join": jaccard_join.LINKS_ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_centroids": lloyd.oracle(),
     "op13_fill_middle": fill_middle.ORACLE,

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
-SLICE_BYTES = 2_000_000
 _U = np.uint64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _GAP = np.zeros(256, bool)
@@ -75,19 +73,6 @@ def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), sizes
 
 
-def text_slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of rows (first row, UTF-8 texts; null: empty) of about SLICE_BYTES."""
-    lo, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        part.append((t or "").encode())
-        size += len(part[-1]) + 1
-        if size >= SLICE_BYTES:
-            yield lo, part
-            lo, part, size = i + 1, [], 0
-    if part:
-        yield lo, part
-
-
 def set_hashes(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each set, independent of order."""
     end = np.cumsum(sizes)
