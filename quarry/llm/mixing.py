@@ -1,8 +1,8 @@
 """Operator 10 [native]: mixing sources to target weights by weighted fair
 queueing.
 
-Every source holds its documents in one seeded random order (a hash of the
-id), repeated for up to ``repeats`` epochs. The virtual finish time of a
+Every source holds its documents in one seeded random order (a hash of id and
+text), repeated for up to ``repeats`` epochs. The virtual finish time of a
 document is its source's words up to and including it, over the source's
 target: sources advance at speeds proportional to their targets, and at time 1
 each has given its target. All items are ordered by finish time and taken until
@@ -16,7 +16,8 @@ the single bin in which the budget runs out, and a window over what is left.
 
 Defined results: null or empty text has size 0 and nothing taken; null sources
 form one source, last in order; null ids and repeated rows count one row each
-(ties by row number); no words at all gives targets and takes of 0; an empty
+(rows equal in id and text follow each other, so reruns over other splits give the
+same rows); no words at all gives targets and takes of 0; an empty
 table gives no rows; other columns are ignored.
 """
 
@@ -67,8 +68,9 @@ def _shuffled(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed
               row_col: str | None = None) -> DataFrame:
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                       words_in(F.col(text_col)).cast("long").alias("size"), row.alias("row"))
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+                       words_in(F.col(text_col)).cast("long").alias("size"), row.alias("row"),
+                       F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("t"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("t")))
     return rows.select(
         "doc_id", "size", "row",
         # by code point, null last: "0..." sorts before "1"
@@ -134,7 +136,7 @@ ORACLE = r"""
 WITH d AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          coalesce('0' || source, '1') AS key,
-         ('0x' || substr(md5('mix-1' || doc_id::VARCHAR), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5('mix-1' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key),
 w AS (SELECT *, (((row_number() OVER (ORDER BY key)) - 1) % 3 + 1)::DOUBLE AS w, (3 * source_size)::DOUBLE AS cap FROM s),
