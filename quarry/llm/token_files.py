@@ -141,7 +141,10 @@ def write_token_files(docs: DataFrame, path: str, folder: str | None = None, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # a repeated id is dealt by its texts' hashes, repeated rows by their place in the input
+    order = ["doc_id", "h", "place"]
+    ranged = rows.withColumns({"h": F.xxhash64("text"), "place": F.monotonically_increasing_id()}) \
+        .repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     index = materialize(ranged.mapInArrow(
         _write_files(path, folder, sequence, batch, to_arrow_type(id_type)),
         f"part int, file string, doc_id {id_type.simpleString()}, nth long, first long, n_tokens long"), "token-index")
