@@ -13,16 +13,18 @@ local threshold ``t / (|q| l)``:
 * below, candidates are the vectors of length ``t / |q|`` or more (length pruning).
 
 Products of candidates are verified exactly and raise t. The first bounds come
-from the longest block, against which all queries are run first.
+from the longest block, against which all queries are run first. A block whose
+longest vector cannot reach a query's bound is pruned before anything is copied:
+a query goes to the blocks it can need, a block to the groups of queries that need it.
 
 Components are integers ``floor(scale * x)``. Products are exact: in doubles while
 every partial sum stays below 2^53, else in Python integers (limited to the
 range of a long).
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part; shorter vectors count as filled up with zeros; null ids take no
-part; repeated ids are rows of their own, and a query leaves out every row of
-its id; ties go to the smaller id; an empty table gives no rows; other columns
+take no part; shorter vectors count as filled up with zeros; rows of a null id are
+candidates (last in ties); repeated ids are rows of their own: every query row has its own k
+places and leaves out itself only; ties go to the smaller id, then to the earlier row; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .vectors import by_key, finite, in_blocks, matrix
+from .vectors import BLOCK, by_key, finite, in_blocks, matrix
 
 BUCKET = 512
 COORDINATE_FROM = 0.7
@@ -61,7 +63,7 @@ def _aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Best:
-    """The k best (score, id) of every query so far; ties to the smaller id."""
+    """The k best (score, place) of every query so far; ties to the smaller place."""
 
     def __init__(self, n: int, k: int, bound: np.ndarray):
         self.k, self.bound = k, bound.copy()
@@ -136,73 +138,83 @@ def _probe(queries: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, vectors: n
 
 
 def _search(k: int):
+    """Rows of a query group and a block to (query, row, score) by places: a
+    candidate's place follows (id, row) within the block."""
     def run(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         is_query = t.column("is_query").to_numpy().astype(bool)
         v = matrix(t.column("v").combine_chunks())
-        ids, bound = t.column("vec_id").to_numpy(), t.column("bound").to_numpy()
+        row, bound = t.column("row").to_numpy(), t.column("bound").to_numpy()
+        by_id = np.lexsort((row, t.column("vec_id").fill_null(_LONG).to_numpy(), t.column("vec_id").is_null().to_numpy()))
+        place = np.empty(len(row), np.int64)
+        place[by_id] = np.arange(len(row))
+        # a query's own place: that of its row among the candidates, if it lies in this block
+        at = dict(zip(row[~is_query].tolist(), place[~is_query].tolist()))
         length = t.column("len").to_numpy()
         order = np.flatnonzero(~is_query)
         order = order[np.argsort(-length[order], kind="stable")]
         q = np.flatnonzero(is_query)
         if not len(q) or not len(order):
             return
-        best = _probe(v[q], ids[q], bound[q], v[order], ids[order], k)
+        own = np.array([at.get(r, -1) for r in row[q].tolist()], np.int64)
+        best = _probe(v[q], own, bound[q], v[order], place[order], k)
         r, c = np.nonzero(best.have)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[q][r]), pa.array(best.ids[r, c]), pa.array(best.score[r, c])],
-                                         ["query_id", "vec_id", "score"])
+        found = by_id[best.ids[r, c]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(row[q][r]), pa.array(row[found]), t.column("vec_id").combine_chunks().take(pa.array(found)), pa.array(best.score[r, c])],
+            ["query", "row", "vec_id", "score"])
     return by_key(["qb", "block"], run)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def top_k(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5,
-          scale: int = 256) -> DataFrame:
-    """(query_id, rank, vec_id, score): every query's k best other vectors."""
-    rows = table.where(F.col(id_col).isNotNull() & finite(F.col(vector_col))).select(
-        F.col(id_col).cast("long").alias("vec_id"), is_query.alias("is_query"),
+          scale: int = 256, block: int = BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score): every query row's k best other rows."""
+    rows = table.where(finite(F.col(vector_col))).select(
+        F.col(id_col).cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("is_query"),
         # whole numbers as doubles: floor() of a large double is no long
         F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    rows = rows.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    data = in_blocks(rows, [F.desc("len"), "vec_id"])
-    queries = data.where("is_query").select("vec_id", "v", "len", F.col("block").alias("home"))
+    rows = rows.withColumns({"len": F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), "row": F.monotonically_increasing_id()})
+    data = in_blocks(rows, [F.desc("len"), "vec_id", "row"], block)
+    queries = data.where("is_query").select("row", "vec_id", "v", "len")
     n_q = queries.count()
     n_qb = max(1, -(-n_q // QUERY_BLOCK))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_qb)).cast("int"))
-
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("row"), F.lit(n_qb)).cast("int"))
     # one number for every block of 4096 vectors
-    n_blocks = data.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0] + 1
-
-    def search(first: int, end: int, asked: DataFrame) -> DataFrame:
-        """Every query block against blocks [first, end), each pair a group."""
-        left = data.where((F.col("block") >= first) & (F.col("block") < end)) \
-            .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_qb - 1)))) \
-            .select("qb", "block", F.lit(False).alias("is_query"), "vec_id", "v", "len", F.lit(0.0).alias("bound"))
-        ask = asked.withColumn("block", F.explode(F.sequence(F.lit(first), F.lit(end - 1)))) \
-            .select("qb", "block", F.lit(True).alias("is_query"), "vec_id", "v", "len", "bound")
-        return left.unionByName(ask).repartition("qb", "block").sortWithinPartitions("qb", "block") \
-            .mapInArrow(_search(k), "query_id long, vec_id long, score long")
-
-    empty = "query_id long, rank int, vec_id long, score long"
-    if not n_blocks or not n_q:
-        return table.sparkSession.createDataFrame([], empty)
-    found = materialize(search(0, 1, queries.withColumn("bound", F.lit(0.0))), "first-block")
-    if n_blocks > 1:
-        kth = _ranked(found, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"),
-                                                                 F.col("score").cast("double").alias("bound"))
-        asked = queries.join(kth.groupBy("vec_id").agg(F.min("bound").alias("bound")), "vec_id", "left") \
-            .withColumn("bound", F.greatest(F.lit(0.0), F.coalesce("bound", F.lit(0.0))))
-        found = found.unionByName(search(1, n_blocks, asked))
-    return _ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    longest = [r["longest"] for r in data.groupBy("block").agg(F.max("len").alias("longest")).orderBy("block").collect()]
+    cols = ["qb", "block", "is_query", "row", "vec_id", "v", "len", "bound"]
+
+    def search(asked: DataFrame) -> DataFrame:
+        """Query rows with the ``block`` they go to, against that block's vectors."""
+        needed = asked.select("qb", "block").distinct()
+        left = data.join(needed, "block").withColumns({"is_query": F.lit(False), "bound": F.lit(0.0)})
+        return left.select(cols).unionByName(asked.withColumn("is_query", F.lit(True)).select(cols)) \
+            .repartition("qb", "block").sortWithinPartitions("qb", "block") \
+            .mapInArrow(_search(k), "query long, row long, vec_id long, score long")
+
+    if not longest or not n_q:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = materialize(search(queries.withColumns({"block": F.lit(0), "bound": F.lit(0.0)})), "first-block")
+    if len(longest) > 1:
+        kth = _ranked(found, k).where(F.col("rank") == k).select(F.col("query").alias("row"), F.col("score").cast("double").alias("bound"))
+        asked = queries.join(kth, "row", "left").withColumn("bound", F.greatest(F.lit(0.0), F.coalesce("bound", F.lit(0.0))))
+        # blocks come longest first: those a query can need are the first ones
+        reach = F.size(F.filter(F.lit(longest[1:]).cast("array<double>"), lambda x: x * F.col("len") * (1 + 1e-9) >= F.col("bound")))
+        asked = asked.withColumn("reach", reach).where("reach > 0") \
+            .withColumn("block", F.explode(F.sequence(F.lit(1), F.col("reach")))).drop("reach")
+        found = found.unionByName(search(asked))
+    ids = data.where("is_query").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return _ranked(found, k).join(ids, "query").select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = r"""
-WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)])::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+p AS (SELECT q.i AS q, q.vec_id AS query_id, c.vec_id, c.i, list_sum([z[1] * z[2] FOR z IN list_zip(q.e, c.e)])::BIGINT AS score
+      FROM v q JOIN v c ON q.i <> c.i WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, i)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
