@@ -6,11 +6,16 @@ first rejection ends it. Two execution forms:
 * **Column judges** (``Judge(rule=...)``): the whole cascade is one
   projection with nested ``CASE`` -- later judges are evaluated only for rows
   the earlier ones accepted, everything stays in generated code, no shuffle.
-* **Python judges** (``Judge(call=...)``): each call batch runs in
-  ``mapInPandas``; every try, vote sample and stage verdict is appended to a
-  table under the run folder and re-read, so a call is never repeated (a
-  re-used ``mapInPandas`` plan would call twice) and an interrupted run
-  resumes at the first missing try.
+* **Python judges** (``Judge(call=...)``): the prompts of a try are cut into key
+  ranges of ``range_rows``; a range is one task, and its answers are committed when
+  it ends, whatever happens to the others. Answers and stage verdicts are tables
+  under the run folder and re-read, so a call is never repeated (a re-used
+  ``mapInPandas`` plan would call twice), and a run killed in the middle of a try
+  asks again only the ranges that had not ended.
+
+Both forms take one list of judges for all passages, or a list per row: with jobs
+attached (``jobs.attach_jobs``), stage k asks the judge that the row's
+``model_names`` has at place k, with the row's ``search_criteria``.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..session import materialize, new_folder
 from ..sources.files import is_missing
 from . import verdicts as V
 from .prompts import SAMPLE_OPTIONS, TRY_OPTIONS, build_prompt
@@ -34,7 +40,7 @@ class Judge:
     ``rule(text, final) -> Column`` gives the raw answer as an expression;
     ``call(prompts: pd.Series, options: dict) -> sequence of str`` asks a
     model for a batch of prompts (runs in the executors). ``max_in_flight``
-    caps concurrent batches (partitions) for this judge.
+    caps the calls of this judge that run at a time, however many ranges there are.
     """
 
     name: str
@@ -55,7 +61,7 @@ def is_final_stage(k: int, n: int, single_model_final: bool = False) -> bool:
 
 
 # ------------------------------------------------------------------- trail
-def trail(stage_idx, label, status, n_models: int) -> Column:
+def trail(stage_idx, label, status, n_models) -> Column:
     """M9 for the stage a passage ended at (0-based ``stage_idx``): every
     earlier judge said '1'."""
     stage_idx = F.col(stage_idx) if isinstance(stage_idx, str) else stage_idx
@@ -137,6 +143,47 @@ def cascade_rules(passages: DataFrame, judges: Sequence[Judge], keys: Sequence[s
         *keep, *[F.col(f"__r.{c}").alias(c) for c in RESULT_COLS])
 
 
+def cascade_jobs(passages: DataFrame, judges: Sequence[Judge], keys: Sequence[str], stages: int,
+                 text_col: str = "text", names_col: str = "model_names",
+                 single_model_final: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """M8 for Column judges chosen per row: stage k asks the judge named at place
+    k of ``names_col``; a row ends at its own last judge. Map-side like
+    ``cascade_rules``; ``stages`` is the longest list (``jobs.longest_cascade``). A
+    name no judge has, or an empty list, ends as an error."""
+    keep = [*keys, *carry]
+    n = F.size(names_col)
+    d = passages.select(*dict.fromkeys([*keep, text_col, names_col]))
+    reached = F.lit(True)
+    for k in range(stages):
+        name = F.get(names_col, F.lit(k))
+        final = (n == k + 1) & ((n > 1) | F.lit(single_model_final))
+        raw = F.lit("")
+        for j in judges:
+            raw = F.when(name == j.name, F.when(final, j.rule(F.col(text_col), True))
+                         .otherwise(j.rule(F.col(text_col), False))).otherwise(raw)
+        d = d.withColumn(f"__raw{k}", F.when(reached, raw))
+        d = with_rule_verdict(d, f"__raw{k}", final, f"__v{k}")
+        v = F.col(f"__v{k}")
+        reached = F.coalesce((v["label"] == V.POSITIVE) & (v["status"] != "error") & (n > k + 1), F.lit(False))
+
+    result = F.lit(None)
+    for k in reversed(range(stages)):
+        v = F.col(f"__v{k}")
+        error = v["status"] == "error"
+        rejected = F.struct(
+            F.lit(V.NEGATIVE).alias("label"),
+            F.when(error, F.lit(V.CONF_ERROR)).otherwise(v["confidence"]).alias("confidence"),
+            F.lit("").alias("explanation"), trail(F.lit(k), F.lit(V.NEGATIVE), v["status"], n).alias("cascade_info"),
+            F.when(error, F.lit("error")).otherwise(F.lit("rejected")).alias("status"),
+            v["confidence"].alias("model_confidence"))
+        accepted = F.struct(
+            F.lit(V.POSITIVE).alias("label"), F.lit(V.CONF_ACCEPTED).alias("confidence"),
+            v["explanation"].alias("explanation"), trail(F.lit(k), F.lit(V.POSITIVE), F.lit("clear"), n).alias("cascade_info"),
+            F.lit("accepted").alias("status"), v["confidence"].alias("model_confidence"))
+        result = F.when((v["label"] != V.POSITIVE) | error, rejected).when(n <= k + 1, accepted).otherwise(result)
+    return d.select(*keep, result.alias("__r")).select(*keep, *[F.col(f"__r.{c}").alias(c) for c in RESULT_COLS])
+
+
 # ---------------------------------------------------------- python judges
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
@@ -148,9 +195,10 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 CALL_PROMPTS = 32
+RANGE_ROWS = 512
 
 
-def _caller(judge: Judge, keys: list[str], options: dict):
+def _caller(judge: Judge, options: dict):
     """The per-partition function for ``mapInPandas``: one call per
     ``CALL_PROMPTS`` prompts. A call that fails is halved until the bad prompt
     stands alone (M10): at most 2 log2(CALL_PROMPTS) calls more for each."""
@@ -171,12 +219,15 @@ def _caller(judge: Judge, keys: list[str], options: dict):
 
     def run(batches):
         for pdf in batches:
-            got = []
+            got, at = [], []
             for lo in range(0, len(pdf), CALL_PROMPTS):
-                got += ask(pdf["prompt"][lo:lo + CALL_PROMPTS].reset_index(drop=True))
+                answers = ask(pdf["prompt"][lo:lo + CALL_PROMPTS].reset_index(drop=True))
+                got += answers
+                at += [pd.Timestamp.now(tz="UTC")] * len(answers)
             out = pdf.drop(columns=["prompt"]).copy()
             out["raw"] = [r for r, _ in got]
             out["error"] = [e for _, e in got]
+            out["answered_at"] = at
             yield out
     return run
 
@@ -185,160 +236,245 @@ class CascadeRun:
     """A resumable cascade run stored under ``{work}/runs/run_id=<id>``.
 
     Tables (parquet, append-only, keyed by the passage keys):
-    ``passages`` -- the numbered passages (frozen at the first start);
-    ``answers``  -- every model answer (``kind`` 'try' or 'sample');
-    ``verdicts`` -- one row per passage and judge reached.
+    ``passages`` -- the numbered passages (frozen at the first start), with their
+    job's judges and criterion if they have them;
+    ``answers``  -- every model answer (``kind`` 'try' or 'sample'), one file for
+    every key range that ended;
+    ``verdicts`` -- one row per passage, judge reached and generation;
+    ``retries``  -- passages whose error is to be asked again, and their new generation.
+
+    With a ``ledger`` (``sinks.RunLedger``) the run reads and writes its own state:
+    started, complete; running a complete run starts it over.
     """
 
     def __init__(self, spark: SparkSession, work: str, run_id: int, judges: Sequence[Judge],
-                 criterion: str, keys: Sequence[str] = ("doc_id", "passage_no"),
-                 single_model_final: bool = False):
+                 criterion: str | None = None, keys: Sequence[str] = ("doc_id", "passage_no"),
+                 single_model_final: bool = False, range_rows: int = RANGE_ROWS, ledger=None):
         self.spark, self.run_id, self.judges = spark, int(run_id), list(judges)
         self.criterion, self.keys = criterion, list(keys)
-        self.single_model_final = single_model_final
-        self.base = f"{work.rstrip('/')}/runs/run_id={self.run_id}"
-        self.n = len(self.judges)
+        self.single_model_final, self.range_rows, self.ledger = single_model_final, range_rows, ledger
+        self.work = work.rstrip("/")
+        self.base = f"{self.work}/runs/run_id={self.run_id}"
 
     # -- schemas -------------------------------------------------------
     def _key_schema(self, df: DataFrame) -> str:
         return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in self.keys)
 
     def _answers_schema(self, ks: str) -> str:
-        return (f"{ks}, model_idx int, kind string, attempt int, asked string, "
-                f"raw string, error string")
+        return (f"{ks}, model_idx int, kind string, attempt int, asked string, generation int, "
+                f"raw string, error string, answered_at timestamp")
 
     def _verdicts_schema(self, ks: str) -> str:
-        return (f"{ks}, model_idx int, label string, confidence double, explanation string, "
-                f"status string, attempt int, finished_at timestamp")
+        return (f"{ks}, model_idx int, n_models int, label string, confidence double, explanation string, "
+                f"status string, attempt int, generation int, finished_at timestamp")
+
+    def _retries_schema(self, ks: str) -> str:
+        return f"{ks}, model_idx int, generation int"
+
+    # -- stored tables -------------------------------------------------
+    def passages(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.base}/passages")
+
+    def _units(self) -> DataFrame:
+        """Keys of all passages with the names of their judges; no text."""
+        stored = self.passages()
+        names = F.col("model_names") if "model_names" in stored.columns \
+            else F.array(*[F.lit(j.name) for j in self.judges])
+        return stored.select(*self.keys, names.alias("model_names"))
+
+    def _answers(self, ks: str) -> DataFrame:
+        """Every answer once: a task that ran again after its commit has stored
+        its range twice, and then one of the answers counts, before an error."""
+        rows = _read(self.spark, f"{self.base}/answers", self._answers_schema(ks))
+        once = rows.groupBy(*self.keys, "model_idx", "kind", "attempt", "asked", "generation") \
+            .agg(F.min(F.struct("error", "raw", "answered_at")).alias("a"))
+        return once.select("*", "a.raw", "a.error", "a.answered_at").drop("a")
+
+    def _retries(self, ks: str) -> DataFrame:
+        return _read(self.spark, f"{self.base}/retries", self._retries_schema(ks))
+
+    def verdicts(self) -> DataFrame:
+        """The verdicts that count: those of a retried passage and stage only of
+        its latest generation."""
+        ks = self._key_schema(self.passages())
+        stored = _read(self.spark, f"{self.base}/verdicts", self._verdicts_schema(ks))
+        newest = self._retries(ks).groupBy(*self.keys, "model_idx").agg(F.max("generation").alias("__newest"))
+        return stored.join(newest, [*self.keys, "model_idx"], "left") \
+            .where(F.col("generation") >= F.coalesce("__newest", F.lit(0))).drop("__newest")
 
     # -- steps ---------------------------------------------------------
     def freeze_passages(self, passages: DataFrame, text_col: str = "text") -> DataFrame:
         """Append passages whose keys the run has not seen (numbering of stored
-        passages never changes); a stream adds each micro-batch this way."""
+        passages never changes)."""
         path = f"{self.base}/passages"
-        schema = f"{self._key_schema(passages)}, text string"
+        job_cols = [c for c in ("model_names", "search_criteria") if c in passages.columns]
+        schema = f"{self._key_schema(passages)}, text string" + "".join(
+            f", {c} {passages.schema[c].dataType.simpleString()}" for c in job_cols)
         existing = _read(self.spark, path, schema)
-        new = passages.select(*self.keys, F.col(text_col).alias("text")) \
+        new = passages.select(*self.keys, F.col(text_col).alias("text"), *job_cols) \
             .join(existing.select(*self.keys), self.keys, "left_anti")
         new.write.mode("append").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def _ask(self, rows: DataFrame, judge: Judge, k: int, kind: str, final: bool,
-             options: dict, answers_path: str) -> None:
-        """Call the judge for ``rows`` (keys, attempt, asked, text); append answers."""
-        if rows.limit(1).count() == 0:
+        return self.passages()
+
+    def _ask(self, need: DataFrame, k: int, kind: str, options: dict) -> None:
+        """Ask the judges of stage ``k`` for ``need`` (keys, judge, final, attempt,
+        asked, generation), range by range. Only here texts meet their keys."""
+        need = materialize(need, "need")
+        counts = {r["judge"]: r["count"] for r in need.groupBy("judge").count().collect()}
+        stored = self.passages()
+        criterion = "search_criteria" if "search_criteria" in stored.columns else F.lit(self.criterion or "").alias("search_criteria")
+        texts = stored.select(*self.keys, "text", criterion)
+        meta = ["attempt", "asked", "generation"]
+        schema = f"{self._key_schema(need)}, attempt int, asked string, generation int, raw string, error string, answered_at timestamp"
+        for judge in self.judges:
+            n = counts.get(judge.name, 0)
+            if not n:
+                continue
+            # two forms of the prompt: the last judge of a row gets the JSON one
+            asked = need.where(F.col("judge") == judge.name).join(texts, self.keys).select(
+                *self.keys, *meta, build_prompt(F.col("search_criteria"), F.col("text"), F.col("final")).alias("prompt"))
+            ranges = -(-n // self.range_rows)
+            ranged = asked.repartitionByRange(ranges, *self.keys, *meta)
+            for part in self._waves(ranged, ranges, judge.max_in_flight):
+                # committer 2 moves a task's file when the task commits: ended ranges outlive the job
+                part.mapInPandas(_caller(judge, options), schema).select(
+                    *self.keys, F.lit(k).alias("model_idx"), F.lit(kind).alias("kind"), *meta, "raw", "error", "answered_at") \
+                    .write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2") \
+                    .parquet(f"{self.base}/answers")
+
+    def _waves(self, ranged: DataFrame, ranges: int, cap: int | None):
+        """The ranges at once, or ``cap`` of them at a time, each wave read from a
+        written table."""
+        if not cap or ranges <= cap:
+            yield ranged
             return
-        prompts = rows.select(*self.keys, "attempt", "asked",
-                              build_prompt(F.lit(self.criterion), F.col("text"), final)
-                              .alias("prompt"))
-        if judge.max_in_flight:
-            prompts = prompts.repartition(judge.max_in_flight)
-        out_schema = f"{self._key_schema(rows)}, attempt int, asked string, raw string, error string"
-        answered = prompts.mapInPandas(_caller(judge, self.keys, options), out_schema)
-        answered.select(*self.keys, F.lit(k).alias("model_idx"), F.lit(kind).alias("kind"),
-                        "attempt", "asked", "raw", "error") \
-            .write.mode("append").parquet(answers_path)
+        path = new_folder(self.spark, "ranges")
+        no = F.spark_partition_id()
+        ranged.withColumn("range_no", no).withColumn("wave", F.floor(F.col("range_no") / cap).cast("int")) \
+            .write.partitionBy("wave").parquet(path)
+        for w in range(-(-ranges // cap)):
+            yield self.spark.read.parquet(path).where(F.col("wave") == w).repartition(cap, "range_no").drop("range_no", "wave")
 
     def _stage(self, k: int, todo: DataFrame) -> None:
-        judge, final = self.judges[k], is_final_stage(k, self.n, self.single_model_final)
+        """Asks judge ``k`` about the passages ``todo`` (keys are enough) and
+        stores its verdicts."""
         ks = self._key_schema(todo)
-        a_path, v_path = f"{self.base}/answers", f"{self.base}/verdicts"
-        answers = lambda: _read(self.spark, a_path, self._answers_schema(ks)) \
-            .where(F.col("model_idx") == k)
-        def parsed(df: DataFrame) -> DataFrame:
-            return V.with_verdict(df, "raw", final, "v")
+        n = F.size("model_names")
+        newest = self._retries(ks).groupBy(*self.keys).agg(F.max("generation").alias("generation"))
+        todo = self._units().join(todo.select(*self.keys), self.keys, "left_semi").where(n > k) \
+            .join(newest, self.keys, "left").select(
+                *self.keys, F.get("model_names", F.lit(k)).alias("judge"), n.cast("int").alias("n_models"),
+                ((n == k + 1) & ((n > 1) | F.lit(self.single_model_final))).alias("final"),
+                F.coalesce("generation", F.lit(0)).alias("generation"))
+        todo = materialize(todo, "todo")
+        ours = [*self.keys, "generation"]
+
+        def answers(kind: str) -> DataFrame:
+            rows = self._answers(ks).where((F.col("model_idx") == k) & (F.col("kind") == kind))
+            return rows.join(todo.select(*ours, "final"), ours)
+
+        def parsed(rows: DataFrame) -> DataFrame:
+            return V.with_verdict(rows, "raw", F.col("final"), "v")
 
         # tries 1..3, each only for passages with no clear answer and no error yet
         for attempt in range(1, V.MAX_ATTEMPTS + 1):
-            tries = answers().where(F.col("kind") == "try")
-            settled = parsed(tries).where(F.col("error").isNotNull() | F.col("v.clear")) \
-                .select(*self.keys)
-            asked = tries.where(F.col("attempt") == attempt).select(*self.keys)
-            need = todo.join(settled, self.keys, "left_anti").join(asked, self.keys, "left_anti")
-            self._ask(need.select(*self.keys, F.lit(attempt).alias("attempt"),
-                                  F.lit(None).cast("string").alias("asked"), "text"),
-                      judge, k, "try", final, TRY_OPTIONS, a_path)
-
-        tries = answers().where(F.col("kind") == "try") \
-            .join(todo.select(*self.keys), self.keys, "left_semi")
-        errors = tries.where(F.col("error").isNotNull()).groupBy(*self.keys) \
-            .agg(F.min("attempt").alias("attempt"))
-        resolved = V.resolve_attempts(parsed(tries.where(F.col("error").isNull())), self.keys)
-        resolved = resolved.join(errors.select(*self.keys), self.keys, "left_anti")
+            tries = answers("try")
+            settled = parsed(tries).where(F.col("error").isNotNull() | F.col("v.clear")
+                                          | (F.col("attempt") == attempt)).select(*ours)
+            need = todo.join(settled, ours, "left_anti")
+            self._ask(need.select(*self.keys, "judge", "final", F.lit(attempt).alias("attempt"),
+                                  F.lit(None).cast("string").alias("asked"), "generation"), k, "try", TRY_OPTIONS)
+
+        tries = answers("try")
+        errors = tries.where(F.col("error").isNotNull()).groupBy(*ours).agg(F.min("attempt").alias("attempt"))
+        resolved = V.resolve_attempts(parsed(tries.where(F.col("error").isNull())), ours)
+        resolved = materialize(resolved.join(errors.select(*ours), ours, "left_anti"), "resolved")
 
         # vote: 5 samples for each label, only for passages still unresolved
-        unresolved = resolved.where(F.col("status") == "unresolved").select(*self.keys)
-        sampled = answers().where(F.col("kind") == "sample").select(*self.keys, "attempt", "asked")
-        samples_needed = todo.join(unresolved, self.keys, "left_semi") \
-            .withColumn("asked", F.explode(F.array(F.lit(V.POSITIVE), F.lit(V.NEGATIVE)))) \
-            .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(V.VOTE_SAMPLES)))) \
-            .join(sampled, [*self.keys, "attempt", "asked"], "left_anti")
-        self._ask(samples_needed.select(*self.keys, "attempt", "asked", "text"),
-                  judge, k, "sample", final, SAMPLE_OPTIONS, a_path)
-        samples = answers().where(F.col("kind") == "sample") \
-            .join(unresolved, self.keys, "left_semi")
-        sample_errors = samples.where(F.col("error").isNotNull()).select(*self.keys).distinct()
+        unresolved = resolved.where(F.col("status") == "unresolved").select(*ours)
+        sampled = answers("sample").select(*ours, "attempt", "asked")
+        self._ask(todo.join(unresolved, ours, "left_semi")
+                  .withColumn("asked", F.explode(F.array(F.lit(V.POSITIVE), F.lit(V.NEGATIVE))))
+                  .withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(V.VOTE_SAMPLES))))
+                  .join(sampled, [*ours, "attempt", "asked"], "left_anti")
+                  .select(*self.keys, "judge", "final", "attempt", "asked", "generation"), k, "sample", SAMPLE_OPTIONS)
+        samples = answers("sample").join(unresolved, ours, "left_semi")
+        sample_errors = samples.where(F.col("error").isNotNull()).select(*ours).distinct()
         voted = V.resolve_by_vote(V.label_shares(
             samples.where(F.col("error").isNull()).withColumnRenamed("asked", "label_asked"),
-            self.keys, label_col="label_asked")) \
-            .join(sample_errors, self.keys, "left_anti")
-
-        cols = [*self.keys, F.lit(k).alias("model_idx"), "label", "confidence", "explanation",
-                "status", "attempt"]
-        clear = resolved.where(F.col("status") == "clear").select(*cols)
-        vote = voted.select(*self.keys, F.lit(k).alias("model_idx"), "label", "confidence",
-                            "explanation", "status", F.lit(None).cast("int").alias("attempt"))
-        failed = errors.unionByName(sample_errors.withColumn("attempt", F.lit(None).cast("int"))) \
-            .select(*self.keys, F.lit(k).alias("model_idx"), F.lit(V.NEGATIVE).alias("label"),
-                    F.lit(V.CONF_ERROR).alias("confidence"), F.lit("").alias("explanation"),
-                    F.lit("error").alias("status"), "attempt")
-        clear.unionByName(vote).unionByName(failed) \
-            .withColumn("finished_at", F.current_timestamp()) \
-            .write.mode("append").parquet(v_path)
+            ours, label_col="label_asked")).join(sample_errors, ours, "left_anti")
+
+        verdict = ["label", "confidence", "explanation", "status", "attempt"]
+        no_try = F.lit(None).cast("int").alias("attempt")
+        clear = resolved.where(F.col("status") == "clear").select(*ours, *verdict)
+        vote = voted.select(*ours, *verdict[:-1], no_try)
+        failed = errors.unionByName(sample_errors.select("*", no_try)).select(
+            *ours, F.lit(V.NEGATIVE).alias("label"), F.lit(V.CONF_ERROR).alias("confidence"),
+            F.lit("").alias("explanation"), F.lit("error").alias("status"), "attempt")
+        # a passage is finished when the last answer it needed has come
+        ended = answers("try").select(*ours, "answered_at").unionByName(answers("sample").select(*ours, "answered_at")) \
+            .groupBy(*ours).agg(F.max("answered_at").alias("finished_at"))
+        clear.unionByName(vote).unionByName(failed).join(ended, ours).join(todo.select(*ours, "n_models"), ours) \
+            .select(*self.keys, F.lit(k).alias("model_idx"), "n_models", *verdict, "generation", "finished_at") \
+            .write.mode("append").parquet(f"{self.base}/verdicts")
 
     def run(self, passages: DataFrame, text_col: str = "text") -> DataFrame:
         """Judge every passage not judged yet; return the results table."""
-        frozen = self.freeze_passages(passages, text_col)
-        ks = self._key_schema(frozen)
-        v_path = f"{self.base}/verdicts"
-        for k in range(self.n):
-            verdicts = _read(self.spark, v_path, self._verdicts_schema(ks))
-            if k == 0:
-                reached = frozen
-            else:
-                accepted = verdicts.where((F.col("model_idx") == k - 1)
-                                          & (F.col("label") == V.POSITIVE)
+        if self.ledger is not None:
+            if self.ledger.status(self.run_id) == "complete":
+                self.ledger.restart(self.run_id, work=self.work)
+            self.ledger.mark(self.run_id, "started")
+        self.freeze_passages(passages, text_col)
+        self._judge()
+        if self.ledger is not None:
+            self.ledger.mark(self.run_id, "complete")
+        return self.results()
+
+    def retry_errors(self) -> DataFrame:
+        """Ask exactly the passages again whose latest verdict is an error,
+        from the judge at which they failed; return the results table."""
+        errors = self.verdicts().where(F.col("status") == "error") \
+            .select(*self.keys, "model_idx", (F.col("generation") + 1).alias("generation"))
+        errors = materialize(errors, "errors")
+        errors.write.mode("append").parquet(f"{self.base}/retries")
+        self._judge()
+        return self.results()
+
+    def _judge(self) -> None:
+        units = self._units()
+        stages = units.agg(F.coalesce(F.max(F.size("model_names")), F.lit(0))).first()[0]
+        known = {j.name for j in self.judges}
+        unknown = units.select(F.explode("model_names").alias("m")).where(~F.col("m").isin(*known)).limit(1).collect()
+        if unknown:
+            raise ValueError(f"no judge is named {unknown[0]['m']!r}")
+        for k in range(stages):
+            verdicts = self.verdicts()
+            reached = units.where(F.size("model_names") > k)
+            if k:
+                accepted = verdicts.where((F.col("model_idx") == k - 1) & (F.col("label") == V.POSITIVE)
                                           & (F.col("status") != "error")).select(*self.keys)
-                reached = frozen.join(accepted, self.keys, "left_semi")
+                reached = reached.join(accepted, self.keys, "left_semi")
             done = verdicts.where(F.col("model_idx") == k).select(*self.keys)
             self._stage(k, reached.join(done, self.keys, "left_anti"))
-        return self.results()
-
-    def verdicts(self) -> DataFrame:
-        ks = self._key_schema(self.spark.read.parquet(f"{self.base}/passages"))
-        return _read(self.spark, f"{self.base}/verdicts", self._verdicts_schema(ks))
 
     def results(self) -> DataFrame:
         """One row per finished passage: the verdict of the stage it ended at."""
-        return assemble_results(self.verdicts(), self.keys, self.n) \
+        return assemble_results(self.verdicts(), self.keys, F.col("n_models")) \
             .withColumn("run_id", F.lit(self.run_id))
 
     def progress(self, doc_col: str = "doc_id") -> DataFrame:
         """A3 + A4 per document: passages, finished, remaining, and the
         passage to resume from (highest finished + 1)."""
         from . import reports as K
-        passages = self.spark.read.parquet(f"{self.base}/passages")
-        done = self.results().select(*self.keys)
-        left = passages.join(done, self.keys, "left_anti")
-        return K.remaining(passages, left, [doc_col]) \
-            .join(K.resume_state(done, [doc_col], self.keys[-1]), [doc_col], "left") \
-            .fillna(0, ["completed"])
+        return K.progress(self.passages().select(*self.keys), self.results().select(*self.keys),
+                          self.keys, [doc_col], self.keys[-1])
 
 
-def assemble_results(verdicts: DataFrame, keys: Sequence[str], n_models: int) -> DataFrame:
+def assemble_results(verdicts: DataFrame, keys: Sequence[str], n_models) -> DataFrame:
     """The terminal verdict of each passage (a rejection, an error, or the
     last judge's acceptance) with the cascade's label, confidence and trail.
-    No aggregation: every passage ends at exactly one stage."""
+    ``n_models`` is a number or a column. No aggregation: every passage ends at
+    exactly one stage."""
     keys = list(keys)
     ended = (F.col("label") != V.POSITIVE) | (F.col("status") == "error") \
         | (F.col("model_idx") == n_models - 1)

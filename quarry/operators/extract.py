@@ -21,7 +21,8 @@ def extract_passages(documents: DataFrame, page_text: DataFrame | None = None
                      ) -> tuple[DataFrame, DataFrame]:
     """``documents(doc_id, format, content)`` (+ optional ``page_text(doc_id,
     page_no, text)`` for PDFs) -> ``(passages(doc_id, passage_no,
-    content_type, text), rejects(doc_id, reason))``."""
+    content_type, passage_key, text), rejects(doc_id, reason))``. ``passage_key``
+    (``12.html:3``) is unique where one id stands for files of several types."""
     fmt = F.lower("format")
     html = H.with_html_text(documents.where(fmt == ".html").select("doc_id", "content"),
                             "content", "__t").select("doc_id", P.paragraphs("__t").alias("ps"))
@@ -38,8 +39,11 @@ def extract_passages(documents: DataFrame, page_text: DataFrame | None = None
     passages = parts[0]
     for p in parts[1:]:
         passages = passages.unionByName(p)
-    passages = passages.select("doc_id", F.col("passage_no").cast("int").alias("passage_no"),
-                               "content_type", "text")
+    suffix = F.create_map(*[F.lit(x) for fmt_kind in SUPPORTED.items() for x in reversed(fmt_kind)])
+    passages = passages.select(
+        "doc_id", F.col("passage_no").cast("int").alias("passage_no"), "content_type",
+        F.concat(F.col("doc_id").cast("string"), suffix[F.col("content_type")], F.lit(":"), F.col("passage_no").cast("string"))
+        .alias("passage_key"), "text")
     handled = list(SUPPORTED) if page_text is not None else [".html", ".txt"]
     rejects = documents.where(~fmt.isin(*handled) | fmt.isNull()).select(
         "doc_id", F.concat(F.lit("unsupported file type: "), F.coalesce(fmt, F.lit(""))).alias("reason"))

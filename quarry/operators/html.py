@@ -76,7 +76,8 @@ def p_spans(toks: Column) -> Column:
     def step(acc, t):
         st = acc["st"]
         size = F.size(st)
-        back = F.array_position(F.reverse(F.transform(st, lambda x: x["tag"])), t["tag"])
+        # only an end tag looks for its element
+        back = F.when(t["closing"], F.array_position(F.reverse(F.transform(st, lambda x: x["tag"])), t["tag"])).otherwise(0)
         at = (size - back + 1).cast("int")
         closes = t["closing"] & (back > 0)
         popped = F.slice(st, at, (size - at + 1).cast("int"))
@@ -85,7 +86,7 @@ def p_spans(toks: Column) -> Column:
             .when(closes, F.slice(st, 1, (at - 1).cast("int"))).otherwise(st)
         ended = F.transform(F.filter(popped, lambda x: x["tag"] == "p"),
                             lambda x: F.struct(x["i"].alias("pos"), t["i"].alias("end")))
-        new_out = F.when(closes, F.concat(acc["out"], ended)).otherwise(acc["out"])
+        new_out = F.when(closes & F.exists(popped, lambda x: x["tag"] == "p"), F.concat(acc["out"], ended)).otherwise(acc["out"])
         return F.struct(new_st.alias("st"), new_out.alias("out"))
 
     def finish(acc):
@@ -122,9 +123,10 @@ def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
     d = d.withColumn(has_p, F.exists(tok, lambda t: (t["tag"] == "p") & ~t["closing"]
                                      & t["kind"].isin("tag", "p_self")))
     texts = _text_tokens(F.col(tok))
+    # a span looks at its own tokens only: linear in the texts it gives
+    inside = lambda sp: F.slice(tok, sp["pos"] + 2, F.least(sp["end"], F.size(tok)) - sp["pos"] - 1)
     per_span = F.transform(p_spans(F.col(tok)), lambda sp: F.array_join(F.transform(
-        F.filter(texts, lambda x: (x["i"] > sp["pos"]) & (x["i"] < sp["end"])),
-        lambda x: x["tok"]), JOIN_MARK))
+        _text_tokens(inside(sp)), lambda x: x["tok"]), JOIN_MARK))
     whole = F.array(F.array_join(F.transform(texts, lambda x: x["tok"]), JOIN_MARK))
     d = d.withColumn(raw, F.when(F.col(has_p), per_span).otherwise(whole)).drop(tok)
     d = d.withColumn(dec, unescape_each(F.col(raw))).drop(raw)

@@ -25,9 +25,11 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     """JSON job configs with a fixed schema: one object or an array of
     objects per file, or one object per line. A job without ``job_id`` gets its
     file's name (numbered where the file holds several); text that is not JSON
-    is an error."""
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.json)?$", 1).alias("file"), "value")
+    is an error, and so is a file without a job."""
+    files = spark.read.format("binaryFile").load(path).select(
+        F.regexp_extract("path", r"([^/]+?)(\.json)?$", 1).alias("file"), F.col("content").cast("string").alias("value"))
+    files = files.withColumn("value", F.when(F.trim(F.regexp_replace("value", r"\s", "")).isin("", "[]"), F.raise_error(
+        F.concat(F.lit("no job in file "), "file"))).otherwise(F.col("value")))
     lines = F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")
     by_line = F.forall(lines, lambda x: F.trim(x).startswith("{") & F.trim(x).endswith("}"))
     strict = {"mode": "FAILFAST"}
@@ -74,3 +76,8 @@ def attach_jobs(passages: DataFrame, jobs: DataFrame, passage_target: str,
     the target; whether a side is small enough to broadcast is for the
     optimizer to decide by its measured bytes."""
     return passages.join(jobs, passages[passage_target] == jobs[job_target], "inner")
+
+
+def longest_cascade(jobs: DataFrame) -> int:
+    """The number of judges of the job that has most (one number of a small table)."""
+    return jobs.agg(F.coalesce(F.max(F.size("model_names")), F.lit(0))).first()[0]

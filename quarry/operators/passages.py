@@ -8,12 +8,12 @@ Numbering turns the array into rows with ``posexplode``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (WS, as_col, clean_piece, collapse_each, digits_only,
+from ..functions.text import (WS, WS_CHARS, as_col, clean_piece, collapse_each, digits_only,
                               is_blank, is_upper, py_strip, split_keep)
-from .sequence import number_within, running_total
+from .sequence import running_total
 
 # The length floors and piece counts of the passage rules.
 PARAGRAPH_MIN_CHARS = 30      # keep a paragraph when longer than this
@@ -65,33 +65,50 @@ def stanzas(text) -> Column:
 
 
 # ------------------------------------------------------------------ packing
+def chunk_ends(lengths: Column, min_chars: int, entry=None) -> Column:
+    """1-based places of the parts that close a chunk, when ``entry`` characters
+    are open before the first. A fold over the lengths; it appends at closed
+    chunks only."""
+    start = F.struct((F.lit(0) if entry is None else entry).cast("long").alias("n"), F.lit(0).alias("i"),
+                     F.array().cast("array<int>").alias("ends"))
+
+    def step(acc, length):
+        n, i = acc["n"] + length + CHUNK_SEPARATOR_CHARS, acc["i"] + 1
+        full = n >= min_chars
+        return F.struct(F.when(full, F.lit(0).cast("long")).otherwise(n).alias("n"), i.alias("i"),
+                        F.when(full, F.concat(acc["ends"], F.array(i))).otherwise(acc["ends"]).alias("ends"))
+
+    return F.aggregate(lengths, start, step, lambda acc: acc["ends"])
+
+
+def chunk_slices(parts: Column, ends: Column, text=lambda p: p) -> Column:
+    """``array<struct<k, text>>``: the parts between the ``ends``, each run joined by
+    a blank line; ``k`` counts chunks from 0, the last may be open, empty ones fall out."""
+    # a lambda's body is evaluated for every element: what it reads is bound once before
+    bound = F.array(F.struct(parts.alias("parts"), ends.alias("ends")))
+    return F.element_at(F.transform(bound, lambda b: _slices(b["parts"], b["ends"], text)), 1)
+
+
+def _slices(parts: Column, ends: Column, text) -> Column:
+    first = lambda k: F.when(k == 0, 1).otherwise(F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1)
+    last = lambda k: F.coalesce(F.get(ends, k), F.size(parts))
+    runs = F.transform(F.sequence(F.lit(0), F.size(ends)), lambda k: F.struct(
+        k.alias("k"), F.slice(parts, first(k), last(k) - first(k) + 1).alias("run")))
+    return F.transform(F.filter(runs, lambda r: F.size(r["run"]) > 0), lambda r: F.struct(
+        r["k"].alias("k"), F.array_join(F.transform(r["run"], text), "\n\n").alias("text")))
+
+
 def pack_chunks(parts, min_chars: int = CHUNK_MIN_CHARS) -> Column:
     """Greedy packing in order. Each part adds ``len + 2``; when the
     running count reaches ``min_chars`` the chunk is emitted ('\\n\\n'-joined)
     and the count resets; a leftover forms the last chunk.
 
-    The reset makes this a fold, not a window sum: one ``aggregate`` per
-    document row.
+    The reset makes this a fold, not a window sum: one ``aggregate`` over the
+    lengths of a document row, then slices of its parts.
     """
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("chunks"), empty.alias("cur"), F.lit(0).alias("n"))
-
-    def step(acc, p):
-        cur = F.concat(acc["cur"], F.array(p))
-        n = acc["n"] + F.length(p) + CHUNK_SEPARATOR_CHARS
-        full = n >= min_chars
-        return F.struct(
-            F.when(full, F.concat(acc["chunks"], F.array(F.array_join(cur, "\n\n"))))
-             .otherwise(acc["chunks"]).alias("chunks"),
-            F.when(full, empty).otherwise(cur).alias("cur"),
-            F.when(full, F.lit(0)).otherwise(n).alias("n"))
-
-    def finish(acc):
-        return F.when(F.size(acc["cur"]) > 0,
-                      F.concat(acc["chunks"], F.array(F.array_join(acc["cur"], "\n\n")))) \
-            .otherwise(acc["chunks"])
-
-    return F.aggregate(as_col(parts), start, step, finish)
+    parts = as_col(parts)
+    ends = chunk_ends(F.transform(parts, F.length), min_chars)
+    return F.transform(chunk_slices(parts, ends), lambda c: c["text"])
 
 
 # ---------------------------------------------------------------- numbering
@@ -121,43 +138,94 @@ def passages_from_parts(parts: DataFrame, doc_key: str, part_order: str,
 
 
 # ------------------------------------------------------------ page reflow
+# a whitespace run with two line breaks or more ends a paragraph; without the
+# whitespace before its first line break, which the strip removes
+_INLINE_WS = WS.replace("\\n", "")
+PARAGRAPH_BREAK = f"\\n{_INLINE_WS}*+\\n{WS}*+"
+PAGE_BLOCK = 4096
+
+
+def _reflowed(text: Column) -> Column:
+    """Lines stripped and joined by one space."""
+    return py_strip(F.array_join(F.transform(F.split(text, "\n", -1), py_strip), " "))
+
+
 def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no",
-                 text_col: str = "text") -> DataFrame:
+                 text_col: str = "text", block: int = PAGE_BLOCK) -> DataFrame:
     """S3: page texts of one document are concatenated in page order with no
     separator (a page's last line fuses with the next page's first line);
     non-blank lines are stripped and joined by one space; a blank line ends a
     paragraph. Returns ``(doc_id, para_no, text)``, paragraphs 0-based.
 
-    Done without gathering a document: pages become line fragments, fragments
-    are numbered across pages with running totals, and lines / paragraphs are
-    formed by grouping on ids derived from those totals. Only one line (or
-    one paragraph) is ever assembled in one row.
+    A paragraph ends exactly where two characters that are not whitespace have two
+    line breaks or more between them. So a page is cut at such breaks by itself,
+    and only four numbers cross pages: line breaks before its first and behind its
+    last character, all its line breaks, and the paragraphs it starts. Those are
+    running values over blocks of ``block`` pages (one exchange), composed over the
+    blocks' summaries; the pieces at page edges are then joined by paragraph. No
+    document is gathered, only one paragraph is ever assembled in one row.
     """
-    pages = page_text.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)) \
-        .select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"),
-                F.split(text_col, "\n", -1).alias("frags"))
-    # a page of f fragments holds f-1 line breaks: the line number of its first
-    # fragment is the count of breaks on earlier pages (a page-level total)
-    pages = running_total(pages.withColumn("__nb", (F.size("frags") - 1).cast("long")),
-                          ["doc_id"], "page_no", "__nb", "line_base").drop("__nb")
-    frags = pages.select("doc_id", "page_no", "line_base",
-                         F.posexplode("frags").alias("fpos", "frag"), F.size("frags").alias("nf"))
-    frags = frags.select("doc_id", "page_no", "fpos", "frag",
-                         (F.col("line_base") + F.col("fpos")).alias("line_no"),
-                         ((F.col("fpos") > 0) & (F.col("fpos") < F.col("nf") - 1)).alias("inner"))
-    # lines strictly inside a page are whole; only a page's first and last
-    # fragments can fuse with neighbours, so only those are grouped
-    inner = frags.where("inner").select("doc_id", "line_no", F.col("frag").alias("line"))
-    edges = frags.where(~F.col("inner")).groupBy("doc_id", "line_no").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "fpos", "frag"))),
-                                 lambda s: s["frag"]), "").alias("line"))
-    lines = inner.unionByName(edges)
-    lines = lines.withColumn("blank", is_blank("line").cast("long"))
-    # paragraph id = blank lines seen so far; blank lines themselves are dropped
-    lines = running_total(lines, ["doc_id"], "line_no", "blank", "para_key", inclusive=True)
-    paras = lines.where(F.col("blank") == 0).groupBy("doc_id", "para_key").agg(
-        py_strip(F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("line_no", py_strip("line").alias("l")))),
-                        lambda s: s["l"]), " ")).alias("text"))
-    return number_within(paras, ["doc_id"], "para_key", "para_no") \
-        .select("doc_id", F.col("para_no").cast("int").alias("para_no"), "text")
+    text = F.col("text")
+    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    pages = page_text.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"), F.col(text_col).alias("text")) \
+        .where(F.length("text") > 0).withColumn("blk", F.floor(F.col("page_no") / block).cast("long"))
+    pages = pages.select("doc_id", "blk", "page_no", F.split("text", PARAGRAPH_BREAK, -1).alias("pieces"),
+                         is_blank("text").alias("blank"), breaks(text).cast("long").alias("nl"),
+                         (F.length("text") - F.length(F.ltrim(text, F.lit(WS_CHARS)))).alias("head"),
+                         F.length(F.rtrim(text, F.lit(WS_CHARS))).alias("body"), "text")
+    pages = pages.select(
+        "doc_id", "blk", "page_no", "pieces", "blank", "nl",
+        breaks(F.substring(text, 1, F.col("head"))).alias("lead"),
+        breaks(F.substring(text, F.col("body") + 1, F.length("text"))).alias("trail"),
+        is_blank(F.element_at("pieces", 1)).alias("open_blank"),
+        # paragraphs that start behind a break of the page itself
+        (F.size("pieces") - 1 - F.when((F.size("pieces") > 1) & is_blank(F.element_at("pieces", -1)), 1).otherwise(0)).alias("starts"))
+
+    def running(keys: list, order: str):
+        return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def upto(df: DataFrame, keys: list, order: str, lead: str, last: str, total: str) -> DataFrame:
+        """Adds ``gap``: line breaks between the last character before this row and
+        its first; null where no character comes before it."""
+        w = running(keys, order)
+        df = df.withColumn("__before", F.coalesce(F.sum(total).over(w), F.lit(0)))
+        df = df.withColumn("__last", F.max(F.col("__before") + F.col(last)).over(w))
+        return df.withColumn("gap", F.col("__before") + F.col(lead) - F.col("__last"))
+
+    at = ["doc_id", "blk"]
+    end = F.when(~F.col("blank"), F.col("nl") - F.col("trail"))
+    pages = upto(pages.withColumn("end", end), at, "page_no", "lead", "end", "nl")
+    inside = ~F.col("blank") & ~F.col("open_blank")
+    pages = pages.withColumns({
+        "first": F.when(inside & (F.col("gap") >= 2), 1).otherwise(0),
+        # the first page of a block with text: whether it starts a paragraph depends on the blocks before
+        "entry": ~F.col("blank") & F.col("gap").isNull()})
+    pages = pages.withColumn("started", F.coalesce(F.sum(F.col("starts") + F.col("first")).over(running(at, "page_no")), F.lit(0)))
+
+    blocks = pages.groupBy(*at).agg(
+        F.sum("nl").alias("nl"), F.max(F.col("__before") + F.col("end")).alias("end"),
+        F.max(F.when(F.col("entry"), F.col("__before") + F.col("lead"))).alias("lead"),
+        F.max(F.when(F.col("entry"), inside)).alias("open"), F.sum(F.col("starts") + F.col("first")).alias("starts"))
+    blocks = upto(blocks, ["doc_id"], "blk", "lead", "end", "nl")
+    blocks = blocks.withColumn("enters", F.when(F.col("open") & (F.col("gap").isNull() | (F.col("gap") >= 2)), 1).otherwise(0))
+    blocks = blocks.select(*at, "enters", F.coalesce(
+        F.sum(F.col("starts") + F.col("enters")).over(running(["doc_id"], "blk")), F.lit(0)).alias("base"))
+
+    placed = pages.join(blocks, at)
+    first = F.when(F.col("entry"), F.col("enters")).otherwise(F.col("first"))
+    earlier = F.when(F.col("entry") | F.col("__last").isNull(), 0).otherwise(F.col("enters"))
+    pieces = placed.select(
+        "doc_id", "page_no", F.size("pieces").alias("n"),
+        (F.col("base") + F.col("started") + earlier + first - 1).alias("open_no"),
+        F.posexplode("pieces").alias("at", "piece"))
+    pieces = pieces.select("doc_id", "page_no", "at", "piece", (F.col("open_no") + F.col("at")).cast("int").alias("para_no"),
+                           ((F.col("at") > 0) & (F.col("at") < F.col("n") - 1)).alias("whole"))
+    # behind a break, a blank piece belongs to nothing; before one it may hold the spaces of a line
+    pieces = pieces.where((F.col("para_no") >= 0) & ((F.col("at") == 0) | ~is_blank("piece")))
+    whole = pieces.where("whole").select("doc_id", "para_no", _reflowed(F.col("piece")).alias("text"))
+    edges = pieces.where(~F.col("whole")).groupBy("doc_id", "para_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "at", "piece"))),
+                                 lambda s: s["piece"]), "").alias("text"))
+    # blank pieces behind a paragraph that is whole already stand alone: they are nothing
+    edges = edges.select("doc_id", "para_no", _reflowed(F.col("text")).alias("text")).where(F.length("text") > 0)
+    return whole.unionByName(edges)

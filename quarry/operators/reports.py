@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import number_within, running_total
+from .sequence import number_by_rank
 
 # Layout of the text reports.
 DETAIL_HEADER = "Matching Paragraphs Found\n" + "=" * 50 + "\n\n"
@@ -23,16 +23,13 @@ def number_findings(findings: DataFrame, run_col: str = "run_id", doc_col: str =
     """1-based finding number per run, in (document, passage) order.
 
     A run is one key holding every finding, so ``row_number() over
-    (partition by run)`` would run in one task; instead documents get a base
-    from a blocked running total of per-document counts, and passages a rank
-    inside their document.
+    (partition by run)`` would run in one task. The keys alone are numbered, in
+    blocks of the global order (``sequence.number_by_rank``: hashed document ids are
+    as good as dense ones), and join back; the text never goes through a window.
     """
-    per_doc = findings.groupBy(run_col, doc_col).agg(F.count(F.lit(1)).alias("__n"))
-    base = running_total(per_doc, [run_col], doc_col, "__n", "__base").drop("__n")
-    ranked = number_within(findings, [run_col, doc_col], pos_col, "__rank")
-    return ranked.join(base, [run_col, doc_col]) \
-        .withColumn(out, (F.col("__base") + F.col("__rank") + 1).cast("long")) \
-        .drop("__base", "__rank")
+    keys = [run_col, doc_col, pos_col]
+    numbered = number_by_rank(findings.select(*keys), [run_col], [doc_col, pos_col], out)
+    return findings.join(numbered.withColumn(out, F.col(out) + 1), keys)
 
 
 def raw_quote(text) -> Column:
@@ -95,6 +92,18 @@ def resume_state(completed: DataFrame, keys=("doc_id",), num_col: str = "passage
         (F.max(num_col) + 1).alias("resume_from"))
 
 
+def progress(passages: DataFrame, done: DataFrame, keys=("doc_id", "passage_no"), group=("doc_id",),
+             num_col: str = "passage_no") -> DataFrame:
+    """A3 + A4 in one pass: total, completed, remaining and resume point of each
+    document, from one left join of the passages with the completed keys."""
+    keys, group = list(keys), list(group)
+    flagged = passages.select(*keys).join(done.select(*keys).distinct().withColumn("__done", F.lit(True)), keys, "left")
+    return flagged.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("total"), F.count("__done").alias("completed"),
+        F.count(F.when(F.col("__done").isNull(), 1)).alias("remaining"),
+        (F.max(F.when(F.col("__done"), F.col(num_col))) + 1).alias("resume_from"))
+
+
 def order_by_passage(results: DataFrame, keys=("doc_id", "passage_no")) -> DataFrame:
     """Results by document and passage (a global range sort, no single task)."""
     return results.orderBy(*keys)

@@ -13,12 +13,15 @@ split each key's order range into blocks:
 * block offsets join back on ``(key, block)``, which spreads a hot key over
   as many shuffle partitions as it has blocks.
 
-With the default ``block=65536, levels=1`` and dense order values a key
-holding 3e11 rows puts about 4.6e6 block totals in one sorted window task (tens
-of MB), every other task holds at most 65536 rows. Blocks are ranges of the
-order *value*: sparse values (hashed ids) give up to one block a row, and then
-the last level's window task holds one total per row of its key. ``levels=2`` adds another level for keys far
-beyond that, at the price of a larger plan.
+With the default ``block=65536, levels=1`` and dense order values (positions,
+page numbers) a key holding 3e11 rows puts about 4.6e6 block totals in one sorted
+window task (tens of MB), every other task holds at most 65536 rows. ``levels=2``
+adds another level for keys far beyond that, at the price of a larger plan.
+
+Blocks by value need dense values. For sparse ones (hashed ids) ``rank_blocks`` cuts
+by *rank*: the slim rows are range-partitioned by key and order and written
+with their partition as block, so a key has at most as many blocks as there are
+partitions, whatever its values. ``number_by_rank`` numbers rows that way.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def running_total(df: DataFrame, keys: Sequence[str], order: str, value: str,
                   out: str, block: int = 65536, levels: int = 1,
@@ -62,3 +67,24 @@ def number_within(df: DataFrame, keys: Sequence[str], order: str, out: str,
     """0-based position of each row among the rows of its key, by ``order``."""
     d = df.withColumn("__one", F.lit(1))
     return running_total(d, keys, order, "__one", out, block, levels).drop("__one")
+
+
+def rank_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "__blk") -> DataFrame:
+    """``df`` (slim rows) as a written table with its block: the partition of a
+    range partitioning by ``keys`` and ``order``. Blocks follow the order."""
+    at = [*keys, *order]
+    return materialize(df.repartitionByRange(*at).sortWithinPartitions(*at).withColumn(out, F.spark_partition_id()), "rank-blocks")
+
+
+def number_by_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """0-based position of each row among the rows of its key, by ``order``
+    (distinct within a key, values of any spread)."""
+    keys, blk = list(keys), "__blk"
+    d = rank_blocks(df, keys, order, blk)
+    # at most one row for each key and partition
+    before = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("__n")) \
+        .select(*keys, blk, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__ahead"))
+    inside = F.row_number().over(Window.partitionBy(*keys, blk).orderBy(*order)) - 1
+    return d.withColumn("__in", inside).join(ahead, [*keys, blk]) \
+        .withColumn(out, (F.col("__in") + F.col("__ahead")).cast("long")).drop("__in", "__ahead", blk)

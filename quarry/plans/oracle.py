@@ -10,7 +10,31 @@ from __future__ import annotations
 from ..functions.text import WS
 from .replay import ANSWERS, SAMPLES, sql_pick
 from .rules import LENGTHY, SCREEN, VERIFY, sql_rule
-from ..operators.prompts import FENCE, FINAL_INSTRUCTIONS, QUESTION, SHORT_INSTRUCTIONS, TEXT_CLOSE, TEXT_OPEN
+
+# The two prompts, as whole texts of their own.
+PROMPT_SHORT = """Does a segment of this text match the following criteria:
+```
+{criterion}
+```
+Please answer with "1" if it matches, "0" if it does not. You must answer with one of the two. If unsure, put 1.
+
+Text: \"\"\"{text}\"\"\""""
+PROMPT_FINAL = """Does a segment of this text match the following criteria:
+```
+{criterion}
+```
+If it matches, respond in this JSON format (do not add any commentary or extra text):
+{
+    "verdict": 1,
+    "excerpt": "Write out all relevant text from the segment, including both context and the main match.",
+    "explanation": "Write a brief 1-sentence explanation of what you found."
+}
+If it does not match, respond with:
+{
+    "verdict": 0
+}
+
+Text: \"\"\"{text}\"\"\""""
 
 
 def _lit(v: str) -> str:
@@ -302,11 +326,9 @@ VALIDATE_JOBS = f"SELECT job_id, valid, problems FROM {_validated(_JOBS)}"
 
 
 def _prompt(criterion: str, text: str, final: bool) -> str:
-    instr = FINAL_INSTRUCTIONS if final else SHORT_INSTRUCTIONS
-    nl = "chr(10)"
-    return (f"({_lit(QUESTION)} || {nl} || {_lit(FENCE)} || {nl} || {criterion} || {nl} || "
-            f"{_lit(FENCE)} || {nl} || {_lit(instr)} || {nl} || {nl} || {_lit(TEXT_OPEN)} || "
-            f"{text} || {_lit(TEXT_CLOSE)})")
+    before, _, rest = (PROMPT_FINAL if final else PROMPT_SHORT).partition("{criterion}")
+    between, _, after = rest.partition("{text}")
+    return f"({_lit(before)} || {criterion} || {_lit(between)} || {text} || {_lit(after)})"
 
 
 BUILD_PROMPTS = f"""
@@ -341,7 +363,8 @@ PACK_CHUNKS = _packed(PARAGRAPHS_FALLBACK)
 
 _PAGES = """(SELECT doc_id, page_no, substring(text, page_no * 700 + 1, 700) AS text
    FROM (SELECT doc_id, text, unnest(generate_series(0, CAST(ceil(length(text) / 700) AS BIGINT) - 1)) AS page_no
-         FROM documents WHERE length(text) > 0))"""
+         FROM (SELECT doc_id, replace(text, '. ', '.' || chr(10) || ' ' || chr(10)) AS text FROM documents)
+         WHERE length(text) > 0))"""
 
 _REFLOWED = f"""(WITH joined AS (
   SELECT doc_id, string_agg(text, '' ORDER BY page_no) AS txt FROM {_PAGES}
@@ -385,8 +408,13 @@ def _decode(x: str) -> str:
     return x
 
 
-_VOID_SQL = "[" + ", ".join(_lit(v) for v in __import__(
-    "quarry.operators.html", fromlist=["VOID_ELEMENTS"]).VOID_ELEMENTS) + "]"
+#: Python's line breaks.
+_BREAKS = _lit(r"\r\n|[\n\r\x{0B}\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]")
+
+
+# Elements without content.
+_VOID_SQL = """['area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'keygen', 'link', 'menuitem', 'meta',
+ 'param', 'source', 'track', 'wbr', 'basefont', 'bgsound', 'command', 'frame', 'image', 'isindex', 'nextid', 'spacer']"""
 
 HTML_PARAGRAPHS = f"""
 WITH RECURSIVE toks AS (
@@ -439,13 +467,64 @@ WITH RECURSIVE toks AS (
 {_numbered(f"(SELECT doc_id, {_paragraphs('text')} AS arr FROM page_text)")}"""
 
 
+# in document order, all text tokens of a page without paragraphs (a title may end in a bare &amp)
+HTML_FULLTEXT = f"""
+WITH toks AS (
+  SELECT page_id, unnest(t) AS tok, unnest(generate_series(1, len(t))) AS i
+  FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?i)<(/?)p\\b', '<\\1div', 'g'), {_token_re_sql()}, 0) AS t FROM pages)
+), full_text AS (
+  SELECT page_id AS doc_id, string_agg(regexp_replace({_decode('tok')}, '&amp', '&', 'g'), '' ORDER BY i) AS t
+  FROM toks WHERE NOT starts_with(tok, '<') OR tok = '<' GROUP BY page_id
+), phrases AS (
+  SELECT doc_id, list_filter(list_transform(flatten(list_transform(regexp_split_to_array(t, {_BREAKS}),
+           lambda l: string_split({_strip('l')}, '  '))), lambda q: {_strip('q')}), lambda r: length(r) > 0) AS ps FROM full_text
+)
+{_numbered(f"(SELECT doc_id, {_paragraphs('txt')} AS arr FROM (SELECT doc_id, array_to_string(ps, chr(10)) AS txt FROM phrases))")}"""
+
 EXTRACT_PASSAGES = f"""
+SELECT *, doc_id || CASE content_type WHEN 'paragraphs' THEN '.html' WHEN 'stanzas' THEN '.txt' ELSE '.pdf' END
+          || ':' || passage_no AS passage_key FROM (
 SELECT doc_id, passage_no, 'paragraphs' AS content_type, text FROM ({HTML_PARAGRAPHS})
 UNION ALL
 SELECT doc_id, passage_no, 'stanzas' AS content_type, text
 FROM ({_numbered(f"(SELECT doc_id, {_stanzas('text')} AS arr FROM documents)")})
 UNION ALL
-SELECT doc_id, passage_no, 'chunks' AS content_type, text FROM ({PDF_CHUNKS})"""
+SELECT doc_id, passage_no, 'chunks' AS content_type, text FROM ({PDF_CHUNKS}))"""
+
+
+def _report_lines(run: int, judges: list) -> str:
+    """The lines of one run's two reports."""
+    results = rule_cascade_sql(TXT_STANZAS, judges, ["doc_id", "passage_no"], carry=["text"])
+    found = f"""(SELECT *, row_number() OVER (ORDER BY doc_id, passage_no) AS no FROM ({results}) WHERE label = '1')"""
+    nl = "chr(10)"
+    detail = f"""'Finding #' || no || ' (Paragraph ' || (passage_no + 1) || ', Confidence: ' || printf('%.2f', confidence) || ')'
+      || {nl} || repeat('-', 60) || {nl} || 'Explanation: ' || explanation || {nl} || {nl} || text || {nl}"""
+    ends = f"""'Matching Paragraphs Found' || {nl} || repeat('=', 50) || {nl} AS a,
+      {nl} || repeat('=', 50) || {nl} || 'PROCESSING COMPLETE' || {nl} || repeat('=', 50) || {nl}
+      || 'Total paragraphs processed: ' || count(*) || {nl} || 'Matches found: ' || count(*) FILTER (WHERE label = '1') || {nl}
+      || CASE WHEN count(*) > 0 THEN 'Success rate: ' || printf('%.1f', 100.0 * count(*) FILTER (WHERE label = '1') / count(*)) || '%' || {nl}
+              ELSE '' END AS b"""
+    return f"""
+SELECT {run} AS run_id, 'raw_quotes' AS report, unnest(string_split('"' || text || '"', {nl})) AS line FROM {found}
+UNION ALL SELECT {run}, 'detailed_results', unnest(string_split({detail}, {nl})) FROM {found} WHERE length(explanation) > 0
+UNION ALL SELECT {run}, 'detailed_results', unnest(string_split(v, {nl}))
+  FROM (SELECT unnest([a, b]) AS v FROM (SELECT {ends} FROM ({results})))"""
+
+
+STORED_REPORTS = f"""
+SELECT run_id, report, line, count(*) AS n
+FROM ({_report_lines(0, [SCREEN, VERIFY])} UNION ALL {_report_lines(1, [SCREEN])}) GROUP BY ALL"""
+
+
+def _job_part(job: str, lang: str, judges: list) -> str:
+    paras = _numbered(f"(SELECT '{job}' AS job_id, doc_id, {_paragraphs('text')} AS arr FROM documents WHERE lang = '{lang}')",
+                      "job_id, doc_id")
+    return f"SELECT * FROM ({rule_cascade_sql(paras, judges, ['job_id', 'doc_id', 'passage_no'])})"
+
+
+JOB_CASCADE = "\nUNION ALL\n".join(_job_part(*x) for x in (
+    ("de-0", "de", [SCREEN, VERIFY]), ("en-0", "en", [SCREEN, LENGTHY, VERIFY]), ("en-1", "en", [LENGTHY, SCREEN]),
+    ("es-0", "es", [VERIFY]), ("fr-0", "fr", [LENGTHY, VERIFY])))
 
 
 def sql() -> dict[str, str]:
@@ -459,18 +538,23 @@ def sql() -> dict[str, str]:
         "ordered_results": ORDERED_RESULTS,
         "cascade_trail": CASCADE_TRAIL,
         "findings": FINDINGS,
+        "stored_reports": STORED_REPORTS,
         "run_totals": RUN_TOTALS,
         "recent_results": RECENT_RESULTS,
         "next_run": NEXT_RUN,
         "completed_ranges": COMPLETED_RANGES,
         "expanded_ranges": EXPANDED_RANGES,
         "pending_passages": PENDING_PASSAGES,
+        "pending_by_ranges": PENDING_PASSAGES,
+        "resumed_passages": PENDING_PASSAGES,
         "progress_state": PROGRESS_STATE,
         "validate_jobs": VALIDATE_JOBS,
         "build_prompts": BUILD_PROMPTS,
+        "job_cascade": JOB_CASCADE,
         "pack_chunks": PACK_CHUNKS,
         "reflow_pages": REFLOW_PAGES,
         "pdf_chunks": PDF_CHUNKS,
         "html_paragraphs": HTML_PARAGRAPHS,
+        "html_fulltext": HTML_FULLTEXT,
         "extract_passages": EXTRACT_PASSAGES,
     }

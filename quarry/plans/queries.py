@@ -19,8 +19,9 @@ from ..operators.prompts import build_prompt
 from ..operators import passages as P
 from ..operators.packing import pack_passage_rows
 from ..operators import reports as K
+from ..operators import sinks as S
 from ..operators import verdicts as V
-from ..session import materialize
+from ..session import materialize, new_folder
 from ..sources import table
 from .replay import ANSWERS, SAMPLES, pick
 from .rules import three_judges, two_judges
@@ -99,6 +100,16 @@ def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
 
 
+def html_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with their ``<p>`` elements renamed, so that none has a
+    paragraph and the full text of each is taken."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.regexp_replace("html", r"(?i)<(/?)p\b", "<$1div").alias("html"))
+    docs = H.with_html_text(pages, "html", "page_text").select("doc_id", P.paragraphs("page_text").alias("ps"))
+    return P.number_passages(docs, "ps", ["doc_id"]) \
+        .select("doc_id", F.col("passage_no").cast("int").alias("passage_no"), "text")
+
+
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's kept paragraphs packed into >= 1600-character
     chunks (one fold per document row, no shuffle)."""
@@ -112,9 +123,11 @@ PAGE_WIDTH = 700   # characters per synthetic page when documents stand in for P
 
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` cut into fixed-width pages ``(doc_id, page_no, text)``:
-    the page-text input an extractor would give (S3 input)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    """``documents`` with a blank line behind every sentence, cut into fixed-width
+    pages ``(doc_id, page_no, text)``: the page-text input an extractor would
+    give (S3 input), with paragraphs inside pages and over their ends."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
     n_pages = F.ceil(F.length("text") / PAGE_WIDTH).cast("int")
     pages = docs.select("doc_id", "text", F.explode(
         F.when(n_pages > 0, F.sequence(F.lit(0), n_pages - 1))
@@ -180,8 +193,14 @@ def _run_results(spark: SparkSession, sf_dir: str, carry=()) -> DataFrame:
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted passages numbered per run, with the quote line and
     the detailed-report block."""
-    results = materialize(_run_results(spark, sf_dir, carry=["text"]))
-    found = results.where(F.col("label") == "1")
+    # the verdicts are written before the filter, which would repeat the judges' expressions;
+    # only accepted passages keep their text
+    results = _run_results(spark, sf_dir, carry=["text"])
+    results = results.withColumn("text", F.when(F.col("label") == "1", F.col("text")))
+    return _report_rows(materialize(results, "verdicts").where(F.col("label") == "1"))
+
+
+def _report_rows(found: DataFrame) -> DataFrame:
     numbered = K.number_findings(found)
     return numbered.select(
         "run_id", "doc_id", "passage_no", "finding_no", "confidence", "explanation",
@@ -190,6 +209,25 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("detail"))
 
 
+def stored_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1-K4 written and read again: the results of two runs (of two judges, and of
+    the first alone) are appended, each twice, and their reports written run
+    by run; every line of the report files with how often it occurs."""
+    base = new_folder(spark, "stored-reports")
+    stanzas = conversation_stanzas(spark, sf_dir)
+    for run_id, judges in ((0, two_judges()), (1, two_judges()[:1])):
+        results = C.cascade_rules(stanzas, judges, KEYS, carry=["text"]).withColumn("run_id", F.lit(run_id))
+        for _ in range(2):
+            S.write_results(results, f"{base}/results")
+    stored = spark.read.parquet(f"{base}/results")
+    for run_id in (0, 1):
+        own = stored.where(F.col("run_id") == run_id)
+        S.write_reports(_report_rows(own.where(F.col("label") == "1")), K.run_totals(own), base)
+    files = [spark.read.option("lineSep", "\n").text(f"{base}/{name}").withColumn("report", F.lit(name))
+             for name in ("raw_quotes", "detailed_results")]
+    return files[0].unionByName(files[1]).groupBy("run_id", "report", F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + A2 over the cascade results."""
     return K.run_totals(_run_results(spark, sf_dir))
@@ -240,14 +278,29 @@ def pending_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pending(conversation_stanzas(spark, sf_dir), _completed_stanzas(spark, sf_dir))
 
 
+def pending_by_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R1 against stored ranges, never written out as numbers."""
+    ranges = table(spark, sf_dir, "labels").select(
+        "doc_id", F.lit(0).alias("lo"), (F.col("quality") + F.col("toxic")).alias("hi"))
+    return R.pending_by_ranges(conversation_stanzas(spark, sf_dir), ranges)
+
+
+def resumed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 + S6 + R1: the passages an earlier session judged are stored as ranges
+    of run 3, read again and left out."""
+    passages = conversation_stanzas(spark, sf_dir)
+    judged = passages.join(_completed_stanzas(spark, sf_dir), KEYS, "left_semi")
+    path = new_folder(spark, "progress")
+    R.mark_completed(judged, path, 3)
+    R.mark_completed(judged.where("passage_no > 0"), path, 3)      # ranges of two sessions overlap
+    R.mark_completed(passages, path, 4)                            # another run's do not count
+    stored = spark.read.parquet(path).where("run_id = 3")
+    return R.pending_by_ranges(passages, stored)
+
+
 def progress_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A3 + A4 per conversation: total, completed, remaining, resume point."""
-    passages = conversation_stanzas(spark, sf_dir)
-    done = _completed_stanzas(spark, sf_dir).join(passages.select(*KEYS), KEYS, "left_semi")
-    left = R.pending(passages, done)
-    return K.remaining(passages, left).join(K.resume_state(done), ["doc_id"], "left") \
-        .select("doc_id", "total", F.coalesce("completed", F.lit(0)).alias("completed"),
-                "remaining", "resume_from")
+    return K.progress(conversation_stanzas(spark, sf_dir), _completed_stanzas(spark, sf_dir))
 
 
 # -------------------------------------------------------------------- jobs
@@ -291,6 +344,30 @@ def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         build_prompt(F.col("search_criteria"), F.col("text"), True).alias("prompt_final"))
 
 
+def _language_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs aimed at the documents of a language, with judge lists of their own;
+    English texts have two."""
+    lists = {"de": [["screen", "verify"]], "en": [["screen", "lengthy", "verify"], ["lengthy", "screen"]],
+             "es": [["verify"]], "fr": [["lengthy", "verify"]]}
+    found = table(spark, sf_dir, "documents").select("lang").distinct()
+    choice = F.lit(None).cast("array<array<string>>")
+    for lang, names in lists.items():
+        choice = F.when(F.col("lang") == lang, F.array(*[F.array(*[F.lit(n) for n in x]) for x in names])).otherwise(choice)
+    return found.select("lang", F.posexplode(choice).alias("pos", "model_names")).select(
+        F.concat("lang", F.lit("-"), F.col("pos").cast("string")).alias("job_id"), "model_names",
+        F.col("lang").alias("target_file"), F.concat(F.lit("a sentence in "), "lang").alias("search_criteria"))
+
+
+def job_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R5 + M8: every passage under each job aimed at its document; stage k asks the
+    judge that the job names at place k."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", P.paragraphs("text").alias("ps"))
+    paras = P.number_passages(docs, "ps", ["doc_id", "lang"]).withColumn("passage_no", F.col("passage_no").cast("int"))
+    jobs = _language_jobs(spark, sf_dir)
+    joined = J.attach_jobs(paras, jobs, "lang")
+    return C.cascade_jobs(joined, three_judges(), ["job_id", *KEYS], J.longest_cascade(jobs))
+
+
 REGISTRY = {
     "txt_stanzas": txt_stanzas,
     "paragraphs_fallback": paragraphs_fallback,
@@ -301,19 +378,24 @@ REGISTRY = {
     "ordered_results": ordered_results,
     "cascade_trail": cascade_trail,
     "findings": findings,
+    "stored_reports": stored_reports,
     "run_totals": run_totals,
     "recent_results": recent_results,
     "next_run": next_run,
     "completed_ranges": completed_ranges,
     "expanded_ranges": expanded_ranges,
     "pending_passages": pending_passages,
+    "pending_by_ranges": pending_by_ranges,
+    "resumed_passages": resumed_passages,
     "progress_state": progress_state,
     "validate_jobs": validate_jobs,
     "build_prompts": build_prompts,
+    "job_cascade": job_cascade,
     "pack_chunks": pack_chunks,
     "reflow_pages": reflow_pages,
     "pdf_chunks": pdf_chunks,
     "html_paragraphs": html_paragraphs,
+    "html_fulltext": html_fulltext,
     "extract_passages": extract_passages,
 }
 
