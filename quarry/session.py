@@ -115,11 +115,14 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", compact: bool = False) -> DataFrame:
     """Cut the lineage of ``df``: write it as a parquet table in the shared
     folder (``spark.checkpoint.dir``) and read it back. A lost executor
-    re-reads the table instead of re-running the work before it."""
+    re-reads the table instead of re-running the work before it.
+
+    ``compact`` is for slim results of a wide scan, which would leave a small file for
+    every split of the input: their rows are dealt anew to files of the advisory size."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.mode("errorifexists").parquet(path)
+    (df.hint("rebalance") if compact else df).write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
