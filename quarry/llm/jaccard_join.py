@@ -366,7 +366,7 @@ def _join(docs: DataFrame, id_col: str, text_col: str, width: int, block: int,
                         F.xxhash64(F.when(F.col(id_col).isNull(), F.col(text_col))).alias("h"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = materialize(texts.mapInArrow(
-        slim(_sets(width)), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets")
+        slim(_sets(width)), f"doc_id {id_type}, h long, n_shingles long, c long, c2 long, sketch binary"), "shingle-sets", compact=True)
     classes = rows.where("n_shingles > 0").groupBy("c", "c2", "n_shingles") \
         .agg(F.min("doc_id").alias("doc_id"), F.min(_key()).alias("key"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")

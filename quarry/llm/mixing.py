@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     mix takes of every row, repeats counted. ``row``: of ``row_col`` (unique,
     not null), or numbered here."""
     sized = _shuffled(docs, id_col, text_col, source_col, seed, row_col)
-    sized = materialize(sized.withColumn("bucket", F.shiftright("h", 50)), "sized")   # h has 60 bits: 1024 buckets
+    sized = materialize(sized.withColumn("bucket", F.shiftright("h", 50)), "sized", compact=True)   # h has 60 bits: 1024 buckets
     targets = source_targets(sized, weights, repeats)
     sums = sized.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -25,10 +24,11 @@ def docs(spark):
 
 
 def _mix(rows):
-    """Copies of each of ``rows`` (id, text, source, text hash)."""
+    """Copies of each of ``rows`` (id, text, source)."""
     size = [len((r[1] or "").split()) for r in rows]
     key = ["1" if r[2] is None else "0" + r[2] for r in rows]
-    order = [int(hashlib.md5(f"mix-1{{{'null' if r[0] is None else r[0]}, {r[3]}}}".encode()).hexdigest()[:15], 16) for r in rows]
+    order = [int(hashlib.md5(f"mix-1{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode())
+                 .hexdigest()[:15], 16) for r in rows]
     total = {k: sum(n for n, o in zip(size, key) if o == k) for k in sorted(set(key))}
     weight = {k: i % 3 + 1 for i, k in enumerate(total)}
     target, open_ = {}, set(total)
@@ -53,7 +53,7 @@ def _mix(rows):
 
 
 def test_mix_decides_row_by_row(spark, docs):
-    rows = docs.select("doc_id", "text", "source", F.xxhash64("text")).collect()
+    rows = docs.select("doc_id", "text", "source").collect()
     copies = _mix(rows)
     want = Counter()
     for r, n in zip(docs.collect(), copies):
