@@ -26,6 +26,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quarry.llm.bpe_codec import encode_decode
 from quarry.llm.jaccard_join import jaccard_components
@@ -60,14 +61,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return left.union(once).select(docs.columns)
 
 
+def _with_row_key(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique key of each row that does not change when they are read
+    again: its place in its file; docs that come from no file are written first."""
+    def placed(rows: DataFrame) -> DataFrame:
+        at = rows.metadataColumn("_metadata")
+        return rows.withColumn(name, F.struct(at["file_path"], at["row_index"]))
+
+    try:
+        return placed(docs)
+    except AnalysisException:
+        return placed(materialize(docs, "mix-rows"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row, key, copies = (_unused(docs, name) for name in ("row_", "key_", "copies_"))
-    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    keyed = rows.withColumn(key, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    taken = mix(keyed, id_col=key, row_col=row).where("size > 0").select(
+    row, copies = _unused(docs, "row_"), _unused(docs, "copies_")
+    rows = _with_row_key(docs, row)
+    taken = mix(rows, row_col=row).where("size > 0").select(
         F.col("row").alias(row), F.round(F.col("taken") / F.col("size")).cast("int").alias(copies))
     return rows.join(taken.where(F.col(copies) > 0), row) \
-        .withColumn(key, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
+        .withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
