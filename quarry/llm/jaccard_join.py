@@ -45,7 +45,7 @@ from .slices import binary_slices, slim
 WIDTH = 5
 BLOCK = 4096
 CHUNK_ROWS = 16_384      # rows of groups compared at once
-UNIT_ROWS = 1_000_000   # rows of one unit of work
+UNIT_ROWS = 65_536      # rows of one unit of work, about
 UNIT_PAIRS = 200_000    # pairs held back by a task for repeats
 LINK_ROWS = 1024         # classes of one block when links are counted
 LINK_ITEMS = 500_000     # and shingles, about
