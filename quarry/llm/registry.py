@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from . import fill_middle, jaccard_join, language, licenses, lloyd, mixing, near_vectors, top_k
+from . import fill_middle, jaccard_join, language, licenses, lloyd, mixing, near_vectors, top_k, url_filter
 from .bpe_codec import encode_decode
 from .quality import quality_scores
 from .token_counts import token_counts
 from .token_files import read_checksums, write_token_files
-from .url_filter import url_verdicts
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -44,7 +43,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(_table(spark, sf_dir, "pages"))
+    return url_filter.url_verdicts(_table(spark, sf_dir, "pages"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +97,7 @@ ORACLE: dict[str, str] = {
     "op2_near_vectors": near_vectors.ORACLE,
     "op4_license_scan": licenses.oracle(),
     "op8_jaccard_join": jaccard_join.LINKS_ORACLE,
+    "op6_url_filter": url_filter.oracle(),
     "op10_mixing": mixing.ORACLE,
     "op11_centroids": lloyd.oracle(),
     "op13_fill_middle": fill_middle.ORACLE,

@@ -120,3 +120,56 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return urls.join(by_shape, ["host", "shape"], "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("known", F.when(F.col("rejects"), "block").otherwise("allow")).alias("verdict"), "template")
+
+
+def oracle(rules=RULES) -> str:
+    """The same verdicts as one DuckDB statement."""
+    def text(v: str) -> str:
+        return "'" + v.replace("'", "''") + "'"
+
+    rest = "substr(url, instr(url, '://') + 3)"
+    host = f"translate(regexp_extract({rest}, '^[^/?#]*', 0), '{_UPPER}', '{_LOWER}')"
+    shape = "s"
+    for pattern, to in _SHAPES:
+        shape = f"regexp_replace({shape}, {text(pattern)}, {text(to.replace('$1', chr(92) + '1'))})"
+    ordered = sorted(rules, key=lambda r: (len(r[1] + r[2]), r[0], r[1] + r[2]), reverse=True)
+    fits = [(f"(host = {text(h)} OR ends_with(host, {text('.' + h)})) AND starts_with(path, {text(p)})", v, h + p) for v, h, p in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN {text(r)}" for f, _, r in fits) + " END"
+    known = "CASE " + " ".join(f"WHEN {f} THEN {text(v)}" for f, v, _ in fits) + " END"
+    levels = []
+    for d in range(DEPTH + 1):
+        levels.append(f"""e{d} AS (
+  SELECT template, segs[{d + 1}] AS seg, sum(l) AS l, sum(b) AS b FROM t{d} WHERE segs[{d + 1}] IS NOT NULL GROUP BY 1, 2),
+r{d} AS (
+  SELECT *, sum(l) OVER (PARTITION BY template) - l AS rl, sum(b) OVER (PARTITION BY template) - b AS rb FROM e{d}),
+p{d} AS (
+  SELECT *, (b + 0.5::DOUBLE) / (l + 1) AS own, (rb + 0.5::DOUBLE) / (rl + 1) AS other FROM r{d}),
+k{d} AS (
+  SELECT template, seg, starts_with(seg, '{{') OR (l >= {SUPPORT} AND (rl = 0 OR
+         abs(own - other) > {Z} * sqrt(own * (1 - own) / (l + 1) + other * (1 - other) / (rl + 1)))) AS literal FROM p{d}),
+t{d + 1} AS MATERIALIZED (
+  SELECT t.host, t.shape, t.segs, t.n, t.l, t.b,
+         CASE WHEN k.seg IS NULL THEN t.template ELSE t.template || '/' || CASE WHEN k.literal THEN k.seg ELSE '*' END END AS template
+  FROM t{d} t LEFT JOIN k{d} k ON k.template = t.template AND k.seg = t.segs[{d + 1}])""")
+    last = f"t{DEPTH + 1}"
+    return f"""
+WITH a AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN {host} ELSE '' END AS host,
+         CASE WHEN contains(url, '://') THEN regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+u AS (
+  SELECT *, {rule} AS rule, {known} AS known, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM a),
+g AS (
+  SELECT *, list_concat(list_transform(parts[1:{DEPTH}], lambda s: {shape}),
+                        CASE WHEN len(parts) > {DEPTH} THEN ['**'] ELSE [] END) AS segs FROM u),
+t0 AS MATERIALIZED (
+  SELECT host, array_to_string(segs, '/') AS shape, any_value(segs) AS segs, count(*) AS n, count(known) AS l,
+         count(*) FILTER (WHERE known = 'block') AS b, host AS template FROM g GROUP BY 1, 2),
+{", ".join(levels)},
+base AS (SELECT coalesce(sum(b), 0)::DOUBLE / greatest(coalesce(sum(l), 0), 1) AS rate FROM {last}),
+j AS (
+  SELECT template, l > 0 AND 2 * l >= n AND (b + {PRIOR} * rate) / (l + {PRIOR}) >= {PURITY} AS rejects
+  FROM (SELECT template, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM {last} GROUP BY 1), base)
+SELECT g.page_id, g.host, g.path, g.rule,
+       coalesce(g.known, CASE WHEN j.rejects THEN 'block' ELSE 'allow' END) AS verdict, x.template
+FROM g JOIN {last} x ON x.host = g.host AND x.shape = array_to_string(g.segs, '/') JOIN j ON j.template = x.template
+"""

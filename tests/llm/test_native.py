@@ -61,6 +61,25 @@ def test_url_templates_reject_by_purity(spark):
     assert got[5].verdict == "block"
 
 
+def test_url_tree_equals_sql(spark):
+    import random
+    rnd = random.Random(3)
+    rules = (("block", "h.net", "/spam/a"), ("allow", "h.net", "/good/"), ("block", "net", "/x/1"), ("allow", "k.net", "/x/12"))
+    heads = ["spam/a", "spam/z", "good/", "x/1", "x/12", "x/9", "else/", "x/7/deep/er/and/deeper/1", "ab0123456789/", "7.html", "Q" * 70]
+    urls = [(i % 700, f"http://{rnd.choice(['h.net', 'k.net', 'A.h.NET', 'o.com'])}/{rnd.choice(heads)}{rnd.randrange(40)}"
+             f"{rnd.choice(['', '/', '/p', '?q', '#f', '/1/2'])}") for i in range(900)]
+    urls += [(None, None), (1, "nothing"), (2, "s://"), (3, "s://h.net"), (4, "s://h.net?x")] + [urls[0]] * 200
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = url_filter.url_verdicts(df, rules=rules)
+    key = lambda r: tuple((x is None, x) for x in r)
+    want = as_duckdb(df, "pages").execute(url_filter.oracle(rules).replace("FROM pages", "FROM (SELECT page_id::BIGINT AS page_id, url FROM pages)"))
+    assert [c[0] for c in want.description] == got.columns
+    rows = sorted((tuple(r) for r in got.collect()), key=key)
+    assert rows == sorted(want.fetchall(), key=key)
+    # the tree decides: some URLs without a rule are rejected, others not
+    assert {r[4] for r in rows if r[3] is None} == {"allow", "block"}
+
+
 def test_mix_equals_sql(spark):
     rows = [(i, "w " * (1 + i % 7 + 40 * (i % 13 == 0)), "s%d" % (i % 5) if i % 9 else None) for i in range(300)] + [
         (1000, None, "s1"), (1001, "", "zz"), (1002, "big " * 900, "tiny")]
