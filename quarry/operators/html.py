@@ -34,7 +34,7 @@ TAG_NAME_RE = r"^</?([A-Za-z][^\s/>]*)"
 # joins text tokens: '<' cannot be part of a character reference, the
 # private-use mark makes the pair unique; removed after decoding
 JOIN_MARK = "<\ue000"
-NO_END = 2_147_483_647
+MARK_BYTES = len(JOIN_MARK.encode())
 
 
 def tokens(html) -> Column:
@@ -66,35 +66,49 @@ def tokens(html) -> Column:
 
 
 def p_spans(toks: Column) -> Column:
-    """``array<struct<pos, end>>`` of every ``<p>`` element in document order:
-    token index of its start tag and of the token that closed it."""
-    tags = F.filter(toks, lambda t: t["kind"] == "tag")
+    """``array<struct<pos, lo, hi>>`` of every ``<p>`` element in document order: token
+    index of its start tag, and where its text starts and ends in bytes, when every
+    text token is followed by ``JOIN_MARK``. One fold with the stack of open elements."""
     start = F.struct(
-        F.array().cast("array<struct<tag:string,i:int>>").alias("st"),
-        F.array().cast("array<struct<pos:int,end:int>>").alias("out"))
+        F.array().cast("array<struct<tag:string,i:int,at:int>>").alias("st"),
+        # ended elements as text: an array would be copied struct by struct at every end tag
+        F.lit("").alias("out"), F.lit(0).alias("n"))
+
+    def noted(elements, hi):
+        return F.array_join(F.transform(F.filter(elements, lambda x: x["tag"] == "p"), lambda x: F.concat_ws(
+            ",", x["i"].cast("string"), x["at"].cast("string"), hi.cast("string"))), ";")
 
     def step(acc, t):
-        st = acc["st"]
+        st, n = acc["st"], acc["n"]
+        is_tag = t["kind"] == "tag"
         size = F.size(st)
         # only an end tag looks for its element
-        back = F.when(t["closing"], F.array_position(F.reverse(F.transform(st, lambda x: x["tag"])), t["tag"])).otherwise(0)
+        back = F.when(is_tag & t["closing"], F.array_position(F.reverse(F.transform(st, lambda x: x["tag"])), t["tag"])).otherwise(0)
         at = (size - back + 1).cast("int")
-        closes = t["closing"] & (back > 0)
+        closes = back > 0
         popped = F.slice(st, at, (size - at + 1).cast("int"))
-        new_st = F.when(~t["closing"], F.concat(st, F.array(F.struct(t["tag"].alias("tag"),
-                                                                   t["i"].alias("i"))))) \
+        new_st = F.when(is_tag & ~t["closing"], F.concat(st, F.array(F.struct(
+            t["tag"].alias("tag"), t["i"].alias("i"), n.alias("at"))))) \
             .when(closes, F.slice(st, 1, (at - 1).cast("int"))).otherwise(st)
-        ended = F.transform(F.filter(popped, lambda x: x["tag"] == "p"),
-                            lambda x: F.struct(x["i"].alias("pos"), t["i"].alias("end")))
-        new_out = F.when(closes & F.exists(popped, lambda x: x["tag"] == "p"), F.concat(acc["out"], ended)).otherwise(acc["out"])
-        return F.struct(new_st.alias("st"), new_out.alias("out"))
+        new_out = F.when(closes & F.exists(popped, lambda x: x["tag"] == "p"),
+                         F.concat(acc["out"], F.lit(";"), noted(popped, n))).otherwise(acc["out"])
+        new_n = F.when(t["kind"] == "text", n + F.octet_length(t["tok"]) + MARK_BYTES).otherwise(n)
+        return F.struct(new_st.alias("st"), new_out.alias("out"), new_n.alias("n"))
 
     def finish(acc):
-        still_open = F.transform(F.filter(acc["st"], lambda x: x["tag"] == "p"),
-                                 lambda x: F.struct(x["i"].alias("pos"), F.lit(NO_END).alias("end")))
-        return F.array_sort(F.concat(acc["out"], still_open))
+        found = F.split(F.concat(acc["out"], F.lit(";"), noted(acc["st"], acc["n"])), ";")
+        numbers = F.transform(F.filter(found, lambda x: x != ""), lambda x: F.split(x, ",").cast("array<int>"))
+        return F.array_sort(F.transform(numbers, lambda x: F.struct(x[0].alias("pos"), x[1].alias("lo"), x[2].alias("hi"))))
+
+    return F.aggregate(toks, start, step, finish)
+
 
-    return F.aggregate(tags, start, step, finish)
+def _span_texts(whole: Column, spans: Column) -> Column:
+    """The text of each span: one cut of the page's text, marks inside kept."""
+    # a lambda's body is evaluated for every element: what it reads is bound once before
+    bound = F.array(F.struct(F.concat(whole, F.lit(JOIN_MARK)).cast("binary").alias("text"), spans.alias("spans")))
+    return F.element_at(F.transform(bound, lambda b: F.transform(b["spans"], lambda sp: F.substring(
+        b["text"], sp["lo"] + 1, F.greatest(sp["hi"] - sp["lo"] - MARK_BYTES, F.lit(0))).cast("string"))), 1)
 
 
 def _text_tokens(toks: Column) -> Column:
@@ -122,13 +136,9 @@ def with_html_text(df: DataFrame, html: str, out: str = "text") -> DataFrame:
     d = df.withColumn(tok, tokens(html))
     d = d.withColumn(has_p, F.exists(tok, lambda t: (t["tag"] == "p") & ~t["closing"]
                                      & t["kind"].isin("tag", "p_self")))
-    texts = _text_tokens(F.col(tok))
-    # a span looks at its own tokens only: linear in the texts it gives
-    inside = lambda sp: F.slice(tok, sp["pos"] + 2, F.least(sp["end"], F.size(tok)) - sp["pos"] - 1)
-    per_span = F.transform(p_spans(F.col(tok)), lambda sp: F.array_join(F.transform(
-        _text_tokens(inside(sp)), lambda x: x["tok"]), JOIN_MARK))
-    whole = F.array(F.array_join(F.transform(texts, lambda x: x["tok"]), JOIN_MARK))
-    d = d.withColumn(raw, F.when(F.col(has_p), per_span).otherwise(whole)).drop(tok)
+    whole = F.array_join(F.transform(_text_tokens(F.col(tok)), lambda x: x["tok"]), JOIN_MARK)
+    per_span = _span_texts(whole, p_spans(F.col(tok)))
+    d = d.withColumn(raw, F.when(F.col(has_p), per_span).otherwise(F.array(whole))).drop(tok)
     d = d.withColumn(dec, unescape_each(F.col(raw))).drop(raw)
     unmarked = F.transform(dec, lambda s: F.replace(s, F.lit(JOIN_MARK), F.lit("")))
     paragraphs = F.array_join(F.filter(F.transform(unmarked, py_strip),

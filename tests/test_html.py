@@ -41,3 +41,20 @@ def test_long_tags_do_not_end_the_job(spark):
     df = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
     got = {r.i: r.t for r in H.with_html_text(df, "html", "t").collect()}
     assert got[0] == got[1] == got[2] == "a paragraph that is long enough to keep"
+
+
+def test_linear_paragraph_spans(spark):
+    import time
+    from quarry.operators import html as H
+    def seconds(n):
+        page = "<html><body>" + "".join(f"<p>paragraph number {i} of this page</p>" for i in range(n)) + "</body></html>"
+        df = spark.createDataFrame([(i, page) for i in range(2)], "doc_id long, html string").repartition(1)
+        best = 1e9
+        for _ in range(3):
+            t = time.time()
+            assert len(H.with_html_text(df, "html", "t").first().t.split("\n\n")) == n
+            H.with_html_text(df, "html", "t").write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - t)
+        return best
+    seconds(200)
+    assert seconds(4000) <= 2.2 * seconds(2000)

@@ -112,3 +112,63 @@ def test_jobs_of_one_file(spark, scratch):
     import pytest
     with pytest.raises(Exception, match="MALFORMED|malformed"):
         J.read_jobs(spark, scratch).collect()
+
+
+def test_reports_of_two_calls_keep_both_runs(spark, scratch):
+    out = os.path.join(scratch, "report")
+    findings, totals = Q.findings(spark, SF001).cache(), Q.run_totals(spark, SF001).cache()
+    lines = lambda run: spark.read.text(f"{out}/raw_quotes").where(F.col("run_id") == run).count()
+    for run in (0, 1):
+        S.write_reports(findings.withColumn("run_id", F.lit(run)), totals.withColumn("run_id", F.lit(run)), out)
+    n = lines(0)
+    assert n == lines(1) > 0
+    assert {r.run_id for r in spark.read.text(f"{out}/detailed_results").select("run_id").distinct().collect()} == {0, 1}
+    # again with nothing found: the run's own quotes go, the other run's stay
+    S.write_reports(findings.limit(0).withColumn("run_id", F.lit(1)), totals.withColumn("run_id", F.lit(1)), out)
+    assert lines(0) == n and not glob.glob(f"{out}/raw_quotes/run_id=1/part-*")
+
+
+def test_results_are_computed_once(spark, scratch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame([(0, i, 0, "1") for i in range(30)], "run_id int, doc_id long, passage_no int, label string")
+    counted = rows.mapInArrow(count, rows.schema)
+    path = os.path.join(scratch, "results")
+    S.write_results(counted, path)
+    assert seen.value == 30
+    S.write_results(counted, path)
+    assert seen.value == 60 and spark.read.parquet(path).count() == 30
+
+
+def test_empty_job_file_is_an_error(spark, scratch):
+    import pytest
+    from quarry.operators import jobs as J
+    for name, text in (("none", ""), ("blank", " \n"), ("list", "[ ]")):
+        d = os.path.join(scratch, name)
+        os.makedirs(d)
+        open(os.path.join(d, "job.json"), "w").write(text)
+        with pytest.raises(Exception, match="no job in file"):
+            J.read_jobs(spark, d).collect()
+
+
+def test_passage_keys_are_unique_over_types(spark):
+    passages = Q.extract_passages(spark, SF001)
+    n = passages.count()
+    assert passages.select("passage_key").distinct().count() == n > passages.select("doc_id", "passage_no").distinct().count()
+
+
+def test_stored_ranges_of_a_run(spark, scratch):
+    from quarry.operators import progress as R
+    path = os.path.join(scratch, "progress")
+    done = spark.createDataFrame([(1, n) for n in (0, 1, 2, 5)] + [(2, 9)], "doc_id long, passage_no int")
+    R.mark_completed(done, path, 0)
+    R.mark_completed(done.where("doc_id = 2"), path, 1)
+    stored = spark.read.parquet(path).where("run_id = 0")
+    assert sorted((r.doc_id, r.lo, r.hi) for r in stored.collect()) == [(1, 0, 2), (1, 5, 5), (2, 9, 9)]
+    passages = spark.createDataFrame([(1, n) for n in range(7)] + [(2, 9)], "doc_id long, passage_no int")
+    assert sorted(tuple(r) for r in R.pending_by_ranges(passages, stored).collect()) == [(1, 3), (1, 4), (1, 6)]
