@@ -26,6 +26,7 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     objects per file, or one object per line. A job without ``job_id`` gets its
     file's name (numbered where the file holds several); text that is not JSON
     is an error, and so is a file without a job."""
+    _raise_on_empty(spark, path)
     files = spark.read.format("binaryFile").load(path).select(
         F.regexp_extract("path", r"([^/]+?)(\.json)?$", 1).alias("file"), F.col("content").cast("string").alias("value"))
     files = files.withColumn("value", F.when(F.trim(F.regexp_replace("value", r"\s", "")).isin("", "[]"), F.raise_error(
@@ -43,6 +44,18 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("job.job_id", name).alias("job_id"), "job.model_names", "job.target_file", "job.search_criteria")
 
 
+def _raise_on_empty(spark: SparkSession, path: str) -> None:
+    """Readers pass over files of no bytes, so those are looked for in the listing."""
+    sc = spark.sparkContext
+    top = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(sc._jsc.hadoopConfiguration())
+    for found in fs.globStatus(top) or []:
+        for f in fs.listStatus(found.getPath()):
+            name = f.getPath().getName()
+            if f.isFile() and not f.getLen() and name[0] not in "._":
+                raise ValueError(f"no job in file {name}")
+
+
 def validate_jobs(jobs: DataFrame, available_models: Sequence[str]) -> DataFrame:
     """K7: adds ``problems`` (comma-separated, empty when the job is good) and
     ``valid``. Checks, in order: missing fields, blank fields or an empty
