@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import (WS, WS_CHARS, as_col, clean_piece, collapse_each, digits_only,
                               is_blank, is_upper, py_strip, split_keep)
+from ..session import materialize
 from .sequence import running_total
 
 # The length floors and piece counts of the passage rules.
@@ -168,7 +169,8 @@ def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str =
     text = F.col("text")
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     pages = page_text.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"), F.col(text_col).alias("text")) \
-        .where(F.length("text") > 0).withColumn("blk", F.floor(F.col("page_no") / block).cast("long"))
+        .where(F.length("text") > 0).withColumn("blk", F.floor(F.col("page_no") / block).cast("long")) \
+        .repartition("doc_id", "blk")     # texts are dealt once, and cut where they arrive
     pages = pages.select("doc_id", "blk", "page_no", F.split("text", PARAGRAPH_BREAK, -1).alias("pieces"),
                          is_blank("text").alias("blank"), breaks(text).cast("long").alias("nl"),
                          (F.length("text") - F.length(F.ltrim(text, F.lit(WS_CHARS)))).alias("head"),
@@ -222,6 +224,8 @@ def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str =
                            ((F.col("at") > 0) & (F.col("at") < F.col("n") - 1)).alias("whole"))
     # behind a break, a blank piece belongs to nothing; before one it may hold the spaces of a line
     pieces = pieces.where((F.col("para_no") >= 0) & ((F.col("at") == 0) | ~is_blank("piece")))
+    # read twice below: cut and placed once
+    pieces = materialize(pieces, "page-pieces")
     whole = pieces.where("whole").select("doc_id", "para_no", _reflowed(F.col("piece")).alias("text"))
     edges = pieces.where(~F.col("whole")).groupBy("doc_id", "para_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "at", "piece"))),
