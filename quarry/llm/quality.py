@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .slices import binary_slices, slim
+from .slices import binary_slices, give_back, slim
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -176,16 +177,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .agg(F.min("h").alias("h"), F.min("label").alias("label"))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "h"]).select("doc_id", "label", "text") \
         .mapInArrow(slim(_rows), f"doc_id {id_type}, label double, ids binary, x binary") \
-        .groupBy("doc_id").agg(F.first("label").alias("label"), F.first("ids").alias("ids"), F.first("x").alias("x")).collect()
-    rows.sort(key=lambda r: (bytes(r["ids"]), bytes(r["x"]), r["label"]))
-    y = np.array([r["label"] for r in rows])
+        .groupBy("doc_id").agg(F.first("label").alias("label"), F.first("ids").alias("ids"), F.first("x").alias("x")).toArrow()
+    rows = rows.sort_by("doc_id")
+    y = rows.column("label").to_numpy()
     if not len(y) or (y == y[0]).all():
         return None
-    ids = np.frombuffer(b"".join(r["ids"] for r in rows), np.int32).astype(np.int64)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).astype(np.float64)
+    ids, x = (np.frombuffer(b"".join(part.as_buffer() for part in rows.column(c)), kind) for c, kind in (("ids", np.int32), ("x", np.float32)))
+    per = pc.binary_length(rows.column("ids")).to_numpy() // 4
+    del rows
     machine = Machine()
-    machine.fit(ids, x, np.array([len(r["ids"]) // 4 for r in rows]), y)
+    machine.fit(ids, x, per, y)
     machine.w, machine.v = machine.w.astype(np.float32), machine.v.astype(np.float32)
+    give_back()
     return machine
 
 
