@@ -43,24 +43,23 @@ def py_strip(c) -> Column:
 
 
 def collapse_ws(c) -> Column:
-    """strip, then every whitespace run becomes one space (T3). Native steps:
-    a character map turns every whitespace character into a space, and only
-    text holding a double space goes through a (single-character) regex."""
-    return _squeeze(_spaced(c))
+    """strip, then every whitespace run becomes one space (T3). Only text that
+    holds another whitespace character than single spaces is replaced in."""
+    return _squeeze(py_strip(c))
 
 
-def _spaced(c) -> Column:
-    return F.translate(py_strip(c), WS_CHARS.replace(" ", ""), " " * (len(WS_CHARS) - 1))
+# whitespace but for the space; the first class passes over ASCII text at once
+_UNEVEN = r"[\x00-\x1F\x7F-\x{10FFFF}&&" + WS.replace(" ", "", 1) + "]"
 
 
-def _squeeze(spaced: Column) -> Column:
-    return F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced)
+def _squeeze(stripped: Column) -> Column:
+    return F.when(stripped.contains("  ") | stripped.rlike(_UNEVEN), F.regexp_replace(stripped, f"{WS}+", " ")).otherwise(stripped)
 
 
 def collapse_each(arr) -> Column:
     """``collapse_ws`` on every string of an array, one pass per step (a
     lambda body is interpreted, so a shared sub-result is not re-evaluated)."""
-    return F.transform(F.transform(as_col(arr), _spaced), _squeeze)
+    return F.transform(F.transform(as_col(arr), py_strip), _squeeze)
 
 
 def is_blank(c) -> Column:

@@ -32,9 +32,7 @@ def extract_passages(documents: DataFrame, page_text: DataFrame | None = None
     if page_text is not None:
         pdf_ids = documents.where(fmt == ".pdf").select("doc_id")
         pages = page_text.join(pdf_ids, "doc_id", "left_semi")
-        paras = P.reflow_pages(pages).withColumn("text", P.clean_piece("text")) \
-            .where(F.length("text") > P.PARAGRAPH_MIN_CHARS)
-        chunks = pack_passage_rows(paras, "para_no")
+        chunks = pack_passage_rows(P.kept_paragraphs(P.reflow_pages(pages)), "para_no")
         parts.append(chunks.withColumn("content_type", F.lit("chunks")))
     passages = parts[0]
     for p in parts[1:]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import (WS, WS_CHARS, as_col, clean_piece, collapse_each, digits_only,
+from ..functions.text import (WS, WS_CHARS, as_col, collapse_each, digits_only,
                               is_blank, is_upper, py_strip, split_keep)
 from ..session import materialize
 from .sequence import running_total
@@ -143,12 +143,28 @@ def passages_from_parts(parts: DataFrame, doc_key: str, part_order: str,
 # whitespace before its first line break, which the strip removes
 _INLINE_WS = WS.replace("\\n", "")
 PARAGRAPH_BREAK = f"\\n{_INLINE_WS}*+\\n{WS}*+"
-PAGE_BLOCK = 4096
+# the first class passes over ASCII text at once
+_LINE_WS = r"[\x00-\x20\x7F-\x{10FFFF}&&" + _INLINE_WS + "]"
+LINE_END = f"{_LINE_WS}*+\\n{_LINE_WS}*+"
+PAGE_BLOCK = 256
 
 
-def _reflowed(text: Column) -> Column:
-    """Lines stripped and joined by one space."""
-    return py_strip(F.array_join(F.transform(F.split(text, "\n", -1), py_strip), " "))
+def _reflowed(pieces: Column) -> Column:
+    """Each piece with its lines stripped and joined by one space."""
+    joined = F.transform(pieces, lambda p: F.when(p.contains("\n"), F.regexp_replace(p, LINE_END, " ")).otherwise(p))
+    return F.transform(joined, py_strip)
+
+
+def _fused_pages(pages: DataFrame) -> DataFrame:
+    """The pages of a block as one page, which has the first one's number: they are put
+    together without a separator anyhow. Where a number repeats, they stay single."""
+    # the pair is one key: rows that come dealt by document would else stay so, a long one in one task
+    blocks = pages.groupBy(F.struct("doc_id", "blk").alias("at")) \
+        .agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("ps"))
+    numbers = F.col("ps.page_no")
+    fused = F.array(F.struct(numbers[0].alias("page_no"), F.array_join("ps.text", "").alias("text")))
+    return blocks.select("at", F.inline(
+        F.when(F.size(F.array_distinct(numbers)) == F.size(numbers), fused).otherwise(F.col("ps"))))
 
 
 def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str = "page_no",
@@ -162,21 +178,23 @@ def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str =
     line breaks or more between them. So a page is cut at such breaks by itself,
     and only four numbers cross pages: line breaks before its first and behind its
     last character, all its line breaks, and the paragraphs it starts. Those are
-    running values over blocks of ``block`` pages (one exchange), composed over the
-    blocks' summaries; the pieces at page edges are then joined by paragraph. No
-    document is gathered, only one paragraph is ever assembled in one row.
+    running values. ``block`` consecutive pages are put together as one page (one
+    exchange) and written once; documents of several blocks compose their values over
+    the blocks' summaries, and the pieces at the edges of their blocks are joined by
+    paragraph. No document is gathered.
     """
     text = F.col("text")
     breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
     pages = page_text.select(F.col(doc_col).alias("doc_id"), F.col(page_col).alias("page_no"), F.col(text_col).alias("text")) \
-        .where(F.length("text") > 0).withColumn("blk", F.floor(F.col("page_no") / block).cast("long")) \
-        .repartition("doc_id", "blk")     # texts are dealt once, and cut where they arrive
-    pages = pages.select("doc_id", "blk", "page_no", F.split("text", PARAGRAPH_BREAK, -1).alias("pieces"),
-                         is_blank("text").alias("blank"), breaks(text).cast("long").alias("nl"),
-                         (F.length("text") - F.length(F.ltrim(text, F.lit(WS_CHARS)))).alias("head"),
-                         F.length(F.rtrim(text, F.lit(WS_CHARS))).alias("body"), "text")
+        .where((F.length("text") > 0) & F.col("doc_id").isNotNull() & F.col("page_no").isNotNull()) \
+        .withColumn("blk", F.floor(F.col("page_no") / block).cast("long"))
+    pages = _fused_pages(pages).select(
+        "at", "page_no", F.split("text", PARAGRAPH_BREAK, -1).alias("pieces"),
+        is_blank("text").alias("blank"), breaks(text).cast("long").alias("nl"),
+        (F.length("text") - F.length(F.ltrim(text, F.lit(WS_CHARS)))).alias("head"),
+        F.length(F.rtrim(text, F.lit(WS_CHARS))).alias("body"), "text")
     pages = pages.select(
-        "doc_id", "blk", "page_no", "pieces", "blank", "nl",
+        "at", "page_no", "pieces", "blank", "nl",
         breaks(F.substring(text, 1, F.col("head"))).alias("lead"),
         breaks(F.substring(text, F.col("body") + 1, F.length("text"))).alias("trail"),
         is_blank(F.element_at("pieces", 1)).alias("open_blank"),
@@ -194,42 +212,60 @@ def reflow_pages(page_text: DataFrame, doc_col: str = "doc_id", page_col: str =
         df = df.withColumn("__last", F.max(F.col("__before") + F.col(last)).over(w))
         return df.withColumn("gap", F.col("__before") + F.col(lead) - F.col("__last"))
 
-    at = ["doc_id", "blk"]
     end = F.when(~F.col("blank"), F.col("nl") - F.col("trail"))
-    pages = upto(pages.withColumn("end", end), at, "page_no", "lead", "end", "nl")
+    pages = upto(pages.withColumn("end", end), ["at"], "page_no", "lead", "end", "nl")
     inside = ~F.col("blank") & ~F.col("open_blank")
     pages = pages.withColumns({
         "first": F.when(inside & (F.col("gap") >= 2), 1).otherwise(0),
         # the first page of a block with text: whether it starts a paragraph depends on the blocks before
-        "entry": ~F.col("blank") & F.col("gap").isNull()})
-    pages = pages.withColumn("started", F.coalesce(F.sum(F.col("starts") + F.col("first")).over(running(at, "page_no")), F.lit(0)))
+        "entry": ~F.col("blank") & F.col("gap").isNull(), "inside": inside})
+    whole_block = Window.partitionBy("at")
+    pages = pages.withColumns({
+        "started": F.coalesce(F.sum(F.col("starts") + F.col("first")).over(running(["at"], "page_no")), F.lit(0)),
+        "open": F.max(F.when(F.col("entry"), F.col("inside"))).over(whole_block),
+        "alone": F.count(F.lit(1)).over(whole_block) == 1})
+    # read three times below: cut once
+    at = ["doc_id", "blk"]
+    pages = materialize(pages.select("at.*", "page_no", "pieces", "nl", "lead", "starts", "first", "entry", "started", "open", "alone", "end",
+                                     "__before", F.col("__last").isNull().alias("heads")), "page-pieces")
 
+    # only blocks of documents with several depend on others
     blocks = pages.groupBy(*at).agg(
         F.sum("nl").alias("nl"), F.max(F.col("__before") + F.col("end")).alias("end"),
         F.max(F.when(F.col("entry"), F.col("__before") + F.col("lead"))).alias("lead"),
-        F.max(F.when(F.col("entry"), inside)).alias("open"), F.sum(F.col("starts") + F.col("first")).alias("starts"))
+        F.max("open").alias("open"), F.sum(F.col("starts") + F.col("first")).alias("starts"))
+    blocks = blocks.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("n > 1")
     blocks = upto(blocks, ["doc_id"], "blk", "lead", "end", "nl")
     blocks = blocks.withColumn("enters", F.when(F.col("open") & (F.col("gap").isNull() | (F.col("gap") >= 2)), 1).otherwise(0))
-    blocks = blocks.select(*at, "enters", F.coalesce(
-        F.sum(F.col("starts") + F.col("enters")).over(running(["doc_id"], "blk")), F.lit(0)).alias("base"))
-
-    placed = pages.join(blocks, at)
-    first = F.when(F.col("entry"), F.col("enters")).otherwise(F.col("first"))
-    earlier = F.when(F.col("entry") | F.col("__last").isNull(), 0).otherwise(F.col("enters"))
-    pieces = placed.select(
-        "doc_id", "page_no", F.size("pieces").alias("n"),
-        (F.col("base") + F.col("started") + earlier + first - 1).alias("open_no"),
-        F.posexplode("pieces").alias("at", "piece"))
-    pieces = pieces.select("doc_id", "page_no", "at", "piece", (F.col("open_no") + F.col("at")).cast("int").alias("para_no"),
-                           ((F.col("at") > 0) & (F.col("at") < F.col("n") - 1)).alias("whole"))
+    blocks = materialize(blocks.select(*at, "enters", F.coalesce(
+        F.sum(F.col("starts") + F.col("enters")).over(running(["doc_id"], "blk")), F.lit(0)).alias("base")), "page-blocks", compact=True)
+
+    placed = pages.join(blocks, at, "left")
+    enters = F.coalesce("enters", F.when(F.col("open"), 1).otherwise(0))
+    first = F.when(F.col("entry"), enters).otherwise(F.col("first"))
+    earlier = F.when(F.col("entry") | F.col("heads"), 0).otherwise(enters)
+    placed = placed.select(
+        "doc_id", "page_no", "pieces", F.size("pieces").alias("n"), (F.col("alone") & F.col("base").isNull()).alias("all"),
+        (F.coalesce("base", F.lit(0)) + F.col("started") + earlier + first - 1).alias("open_no"))
+    para_no = (F.col("open_no") + F.col("at")).cast("int").alias("para_no")
+    # rows are reflowed before they are exploded: a filter would repeat the expressions
+    whole = placed.select("all", "n", "open_no", "doc_id", F.posexplode(_reflowed(F.col("pieces"))).alias("at", "text")) \
+        .where(F.col("all") | ((F.col("at") > 0) & (F.col("at") < F.col("n") - 1)))
+    whole = whole.where(F.col("open_no") + F.col("at") >= 0).select("doc_id", para_no, "text")
+    ends = F.array_distinct(F.array(F.lit(0), F.col("n") - 1))
+    edges = placed.where(~F.col("all")).select("doc_id", "page_no", "open_no", F.inline(F.transform(
+        ends, lambda i: F.struct(i.alias("at"), F.get("pieces", i).alias("piece")))))
+    edges = edges.select("doc_id", "page_no", "at", "piece", para_no)
     # behind a break, a blank piece belongs to nothing; before one it may hold the spaces of a line
-    pieces = pieces.where((F.col("para_no") >= 0) & ((F.col("at") == 0) | ~is_blank("piece")))
-    # read twice below: cut and placed once
-    pieces = materialize(pieces, "page-pieces")
-    whole = pieces.where("whole").select("doc_id", "para_no", _reflowed(F.col("piece")).alias("text"))
-    edges = pieces.where(~F.col("whole")).groupBy("doc_id", "para_no").agg(
+    edges = edges.where((F.col("para_no") >= 0) & ((F.col("at") == 0) | ~is_blank("piece"))).groupBy("doc_id", "para_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "at", "piece"))),
                                  lambda s: s["piece"]), "").alias("text"))
+    edges = edges.select("doc_id", "para_no", F.explode(_reflowed(F.array("text"))).alias("text"))
     # blank pieces behind a paragraph that is whole already stand alone: they are nothing
-    edges = edges.select("doc_id", "para_no", _reflowed(F.col("text")).alias("text")).where(F.length("text") > 0)
-    return whole.unionByName(edges)
+    return whole.unionByName(edges).where(F.length("text") > 0)
+
+
+def kept_paragraphs(paragraphs: DataFrame, text_col: str = "text") -> DataFrame:
+    """T7 on passage rows: cleaned, those longer than 30 characters kept."""
+    return paragraphs.select(*[c for c in paragraphs.columns if c != text_col],
+                             F.explode(clean_and_filter(F.array(text_col))).alias(text_col))

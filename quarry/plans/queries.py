@@ -128,12 +128,8 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     give (S3 input), with paragraphs inside pages and over their ends."""
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", F.replace("text", F.lit(". "), F.lit(".\n \n")).alias("text"))
-    n_pages = F.ceil(F.length("text") / PAGE_WIDTH).cast("int")
-    pages = docs.select("doc_id", "text", F.explode(
-        F.when(n_pages > 0, F.sequence(F.lit(0), n_pages - 1))
-         .otherwise(F.array().cast("array<int>"))).alias("page_no"))
-    return pages.select("doc_id", "page_no",
-                        F.substring("text", F.col("page_no") * PAGE_WIDTH + 1, PAGE_WIDTH).alias("text"))
+    return docs.select("doc_id", F.posexplode(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PAGE_WIDTH}}}+"), F.lit(0))).alias("page_no", "text"))
 
 
 def reflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +140,7 @@ def reflow_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3 + T7 + T10: the whole page-text path to numbered chunks; packing
     runs on passage rows in bounded blocks (no document is gathered)."""
-    paras = P.reflow_pages(page_text(spark, sf_dir)) \
-        .withColumn("text", P.clean_piece("text")) \
-        .where(F.length("text") > P.PARAGRAPH_MIN_CHARS)
-    return pack_passage_rows(paras, "para_no")
+    return pack_passage_rows(P.kept_paragraphs(P.reflow_pages(page_text(spark, sf_dir))), "para_no")
 
 
 def extract_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

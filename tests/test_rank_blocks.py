@@ -138,3 +138,43 @@ def test_block_functions_compose():
                 if n >= least:
                     n, k = 0, k + 1
             assert K.applied(left, entry, least) == K.applied(right, entry, least) == (n, k)
+
+
+def test_reflow_reads_the_pages_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    schema = "doc_id long, page_no int, text string"
+    rows = [(d, p, f"page {p}\n\nof {d} ") for d in range(40) for p in range(9)]
+    pages = _rows(spark, rows, schema).mapInPandas(counted, schema)
+    got = {(r.doc_id, r.para_no): r.text for r in P.reflow_pages(pages, block=4).collect()}
+    assert got == {(d, p): (f"of {d} " if p else "") + (f"page {p}" if p < 9 else "") if p < 9 else f"of {d}" for d in range(40) for p in range(10)}
+    assert seen.value == len(rows)
+
+
+def test_pages_with_one_number_stay_in_order(spark):
+    rows = [(1, 0, "a\n\nb"), (1, 1, " c"), (1, 1, " c"), (1, 2, "\n"), (1, 2, "\n"), (1, 3, "d"), (None, 0, "x"), (2, None, "y")]
+    for block in (1, 2, 256):
+        got = P.reflow_pages(_rows(spark, rows, "doc_id long, page_no int, text string"), block=block).orderBy("para_no").collect()
+        assert [(r.doc_id, r.para_no, r.text) for r in got] == [(1, 0, "a"), (1, 1, "b c c"), (1, 2, "d")]
+
+
+def test_cleaned_pieces(spark):
+    from quarry.functions.text import collapse_ws
+    given = ["  a  b ", "a\tb\u2003\n c", "a b", "\x1f", "a\xa0b", "aéb \x85c", "", "a\u3000\u3000b"]
+    got = [r.c for r in _rows(spark, list(enumerate(given)), "i int, t string").orderBy("i").select(collapse_ws("t").alias("c")).collect()]
+    assert got == [" ".join(t.split()) for t in given]
+
+
+def test_page_text_cuts_by_code_points(spark, scratch):
+    from quarry.plans import queries as Q
+    text = "é😀x. \n" * 700
+    _rows(spark, [(1, text), (2, ""), (3, None), (4, "y" * 700)], "doc_id long, text string").write.parquet(f"{scratch}/documents.parquet")
+    got = {(r.doc_id, r.page_no): r.text for r in Q.page_text(spark, scratch).collect()}
+    whole = text.replace(". ", ".\n \n")
+    want = {(1, i): whole[i * 700:(i + 1) * 700] for i in range(-(-len(whole) // 700))}
+    assert got == want | {(4, 0): "y" * 700}
