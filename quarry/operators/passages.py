@@ -116,7 +116,9 @@ def pack_chunks(parts, min_chars: int = CHUNK_MIN_CHARS) -> Column:
 def number_passages(df: DataFrame, array_col: str, keep: list[str],
                     text_col: str = "text") -> DataFrame:
     """One row per kept passage, ``passage_no`` 0-based in array order."""
-    return df.select(*keep, F.posexplode(array_col).alias("passage_no", text_col))
+    # of a bare column Spark would first filter the empty arrays out, and make them twice for it
+    passages = F.coalesce(array_col, F.array().cast("array<string>"))
+    return df.select(*keep, F.posexplode(passages).alias("passage_no", text_col))
 
 
 def passages_from_parts(parts: DataFrame, doc_key: str, part_order: str,

@@ -163,6 +163,13 @@ def test_pages_with_one_number_stay_in_order(spark):
         assert [(r.doc_id, r.para_no, r.text) for r in got] == [(1, 0, "a"), (1, 1, "b c c"), (1, 2, "d")]
 
 
+def test_numbering_makes_the_passages_once(spark):
+    texts = _rows(spark, [(1, None), (2, ""), (3, "y" * 31 + "\n" + "z" * 31)], "doc_id long, text string")
+    numbered = P.number_passages(texts.select("doc_id", P.paragraphs("text").alias("ps")), "ps", ["doc_id"])
+    assert "Filter" not in numbered._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in numbered.orderBy("passage_no").collect()] == [(3, 0, "y" * 31), (3, 1, "z" * 31)]
+
+
 def test_cleaned_pieces(spark):
     from quarry.functions.text import collapse_ws
     given = ["  a  b ", "a\tb\u2003\n c", "a b", "\x1f", "a\xa0b", "aéb \x85c", "", "a\u3000\u3000b"]
