@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_suffix, py_strip
+from ..session import materialize
 
 JOB_SCHEMA = "job_id string, model_names array<string>, target_file string, search_criteria string"
 
@@ -86,8 +87,10 @@ def validate_jobs(jobs: DataFrame, available_models: Sequence[str]) -> DataFrame
 def attach_jobs(passages: DataFrame, jobs: DataFrame, passage_target: str,
                 job_target: str = "target_file") -> DataFrame:
     """Each passage with the job(s) aimed at its document, by equi-join on
-    the target; whether a side is small enough to broadcast is for the
-    optimizer to decide by its measured bytes."""
+    the target. The jobs are written first, so that the optimizer knows their bytes:
+    where they are small enough to broadcast, the passages stay where they are and
+    those of one target need not meet in one task."""
+    jobs = materialize(jobs, "jobs", compact=True)
     return passages.join(jobs, passages[passage_target] == jobs[job_target], "inner")
 
 

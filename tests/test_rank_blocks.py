@@ -1,5 +1,6 @@
 """Numbering of sparse keys, interval anti-joins, reflow and packing on small blocks."""
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,3 +186,16 @@ def test_page_text_cuts_by_code_points(spark, scratch):
     whole = text.replace(". ", ".\n \n")
     want = {(1, i): whole[i * 700:(i + 1) * 700] for i in range(-(-len(whole) // 700))}
     assert got == want | {(4, 0): "y" * 700}
+
+
+def test_jobs_meet_passages_without_dealing_them_by_target(spark):
+    from quarry.operators import jobs as J
+    targets = ["en", "en", "de", None]
+    passages = _rows(spark, [(i, targets[i % 4]) for i in range(400)], "doc_id long, lang string")
+    found = passages.select("lang").distinct()
+    jobs = found.select(F.concat("lang", F.lit("-0")).alias("job_id"), F.col("lang").alias("target_file"))
+    joined = J.attach_jobs(passages, jobs.unionByName(jobs.where("lang = 'en'").withColumn("job_id", F.lit("en-1"))), "lang")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    got = Counter(r.job_id for r in joined.collect())
+    assert got == {"en-0": 200, "en-1": 200, "de-0": 100}
